@@ -130,29 +130,30 @@ def words(text: Column | str, lang: Column | str | None = None) -> Column:
     return F.when(code == "zh", pairs).when(code == "ar", marks).otherwise(plain)
 
 
-def stop_word_count(word_list: Column, lang: Column | str, languages=None) -> Column:
-    """Words of the list that are stop words of ``lang`` (0 when unknown).
+@cache
+def _stop_word_case(words_column: str, lang_column: str, languages: tuple[str, ...]) -> str:
+    cases = []
+    for name in languages:
+        listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words(name))
+        cases.append(f"WHEN '{name}' THEN filter({words_column}, w -> w IN ({listed}))")
+    return f"CASE {lang_column} {' '.join(cases)} ELSE CAST(array() AS array<string>) END"
+
+
+def stop_words_found(
+    words_column: str, lang_column: str, languages: tuple[str, ...] = tuple(STOP_WORD_LISTS)
+) -> Column:
+    """Words of a list column that are stop words of ``lang`` (none when unknown).
 
-    The set test becomes a hash-set probe inside the projection, so counting
-    needs neither a join nor an explode of the text.
+    The lists are constants of the plan and the test runs inside the
+    projection, so counting needs neither a join nor an explode of the text.
     """
-    code = _col(lang)
-    out = None
-    for name in languages or STOP_WORD_LISTS:
-        listed = list(stop_words(name))
-        hits = F.size(F.filter(word_list, lambda w, listed=listed: w.isin(listed)))
-        out = F.when(code == name, hits) if out is None else out.when(code == name, hits)
-    return out.otherwise(F.lit(0))
+    return F.expr(_stop_word_case(words_column, lang_column, languages))
 
 
-def stop_words_found(word_list: Column, lang: Column | str, languages=None) -> Column:
-    code = _col(lang)
-    out = None
-    for name in languages or STOP_WORD_LISTS:
-        listed = list(stop_words(name))
-        hits = F.filter(word_list, lambda w, listed=listed: w.isin(listed))
-        out = F.when(code == name, hits) if out is None else out.when(code == name, hits)
-    return out.otherwise(F.array().cast("array<string>"))
+def stop_word_count(
+    words_column: str, lang_column: str, languages: tuple[str, ...] = tuple(STOP_WORD_LISTS)
+) -> Column:
+    return F.size(stop_words_found(words_column, lang_column, languages))
 
 
 def word_count(text: Column | str) -> Column:
