@@ -57,30 +57,22 @@ def tidy_inline(html: Column | str) -> Column:
 
 def attribute(tag: Column | str, name: str) -> Column:
     """Value of an attribute of an open tag, entities decoded; NULL if absent."""
-    t = _col(tag)
-    pairs = F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0))
-    hit = F.get(
-        F.filter(pairs, lambda p: F.lower(F.regexp_extract(p, r"^([^\s=]+)", 1)) == name.lower()),
-        0,
-    )
-    value = F.regexp_extract(hit, r"(?s)^[^\s=]+\s*=\s*[\"']?(.*?)[\"']?$", 1)
-    # Most tags lack most attributes: a plain substring test skips the scan.
-    return F.when(F.lower(t).contains(name.lower()), unescape(value))
+    pairs = F.regexp_extract_all(_col(tag), F.lit(ATTRIBUTE), F.lit(0))
+    hit = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?i)^{name}\s*=")), 0)
+    return unescape(F.regexp_extract(hit, r"(?s)^[^\s=]+\s*=\s*[\"']?(.*?)[\"']?$", 1))
 
 
 def attributes(tag: Column | str) -> Column:
     """All attributes of an open tag as MAP(name -> value), first one wins."""
     pairs = F.regexp_extract_all(_col(tag), F.lit(ATTRIBUTE), F.lit(0))
-    entries = F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.lower(F.regexp_extract(p, r"^([^\s=]+)", 1)).alias("key"),
-            F.regexp_extract(p, r"(?s)^[^\s=]+\s*=\s*[\"']?(.*?)[\"']?$", 1).alias("value"),
-        ),
-    )
-    keys = F.transform(entries, lambda e: e["key"])
-    unique = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(unique)
+
+    def add(acc: Column, p: Column) -> Column:
+        key = F.lower(F.regexp_extract(p, r"^([^\s=]+)", 1))
+        value = unescape(F.regexp_extract(p, r"(?s)^[^\s=]+\s*=\s*[\"']?(.*?)[\"']?$", 1))
+        return F.when(F.map_contains_key(acc, key), acc).otherwise(
+            F.map_concat(acc, F.create_map(key, value)))
+
+    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), add)
 
 
 def open_tags(html: Column | str, tag: str) -> Column:
@@ -107,8 +99,7 @@ def elements(
     need = rf"[^>]*\b{attr}\s*=" if attr and value else ""
     h = _col(html)
     marked = F.regexp_replace(h, rf"(?is)(<{name}\b{need})", f"{MARK}$1")
-    pieces = F.split(marked, MARK)
-    pieces = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    pieces = F.slice(F.split(marked, MARK), F.lit(2), F.lit(1 << 30))
 
     def cut(p: Column) -> Column:
         opener = F.regexp_extract(p, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)

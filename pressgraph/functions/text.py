@@ -35,15 +35,17 @@ def _code_point(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(safe.cast("long")), 8, "0")), "UTF-32")
 
 
+def _entity_table() -> Column:
+    """Named entities as one constant map; folded to a literal by the planner."""
+    pairs = "\u0002".join(f"{n}\u0001{chr(c)}" for n, c in name2codepoint.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\u0002"), F.lit("\u0001"))
+
+
 def unescape(text: Column | str) -> Column:
-    """Decode HTML entities; text without '&' is passed through untouched."""
-    t = _col(text)
-    names = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in name2codepoint]),
-        F.array(*[F.lit(chr(c)) for c in name2codepoint.values()]),
-    )
+    """Decode named and numeric HTML entities."""
+    names = _entity_table()
     pieces = F.regexp_extract_all(
-        t, F.lit(r"&#[xX]?[0-9a-fA-F]{1,7};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"), F.lit(0)
+        _col(text), F.lit(r"&#[xX]?[0-9a-fA-F]{1,7};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"), F.lit(0)
     )
 
     def one(p: Column) -> Column:
@@ -55,7 +57,7 @@ def unescape(text: Column | str) -> Column:
             .otherwise(F.coalesce(F.try_element_at(names, body), p))
         )
 
-    return F.when(t.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(t)
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def replace_all(text: Column | str, *pairs: tuple[str, str]) -> Column:
