@@ -176,8 +176,10 @@ VIDEO_PROVIDERS = ["youtube", "vimeo", "dailymotion", "kewego"]
 
 # --- fixed values: topics --------------------------------------------------
 TOKEN_PATTERN = (
-    r"[A-Z](?:\.[A-Z])+\.?|\w+(?:-\w+)*|\$?\d+(?:\.\d+)?%?|\.\.\.|[\]\[.,;\"'?():\-_`]"
+    r"[A-Z](?:\.[A-Z])++\.?|[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*+|\$?\d+(?:\.\d+)?%?"
+    r"|\.\.\.|[\]\[.,;\"'?():-_`]"
 )
+PHRASE_PATTERN = r"\p{Lu}[\p{L}\p{N}_\-]*(?: \p{Lu}[\p{L}\p{N}_\-]*)*+"
 MIN_TERM_WORD = 2
 MAX_TERM_WORD = 40
 MIN_TERM_CHARS = 3

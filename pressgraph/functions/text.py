@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
 from functools import cache
 from html.entities import name2codepoint
 
+import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,12 +93,21 @@ def title_case(text: Column | str) -> Column:
 
 @cache
 def stop_words(lang: str) -> tuple[str, ...]:
-    """The public list of a language; an unknown language has none."""
-    from pyspark.ml.feature import StopWordsRemover
+    """The public list of a language; an unknown language has none.
 
+    The lists are resources of Spark's ML jar and are read from it directly,
+    so they are available before a session exists.
+    """
     name = STOP_WORD_LISTS.get(lang)
     if name is None:
         return ()
+    for home in (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)):
+        for jar in glob.glob(f"{home}/jars/spark-mllib_*.jar") if home else ():
+            with zipfile.ZipFile(jar) as z:
+                raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode()
+            return tuple(sorted({w.strip().lower() for w in raw.splitlines() if w.strip()}))
+    from pyspark.ml.feature import StopWordsRemover
+
     return tuple(sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords(name)}))
 
 

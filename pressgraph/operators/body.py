@@ -225,8 +225,8 @@ def _with_region(d: DataFrame) -> DataFrame:
     return d
 
 
-def kept_blocks(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
-    """Blocks that make the body, with their output order.
+def body_rows(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
+    """Block rows of pages that have a body, with ``keep``, ``in_top`` and order.
 
     Earlier siblings of the top container are adopted when they look like
     text; children of the top container that are link lists, hold no real
@@ -299,34 +299,70 @@ def kept_blocks(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
             F.when(direct_uncle, 0).otherwise(-F.col("pos")).alias("c")))
         .otherwise(F.struct(F.lit(1).alias("a"), F.col("unit").alias("b"), F.lit(0).alias("c"))),
     })
-    kept = d.filter("keep")
     if lenient:
-        last = F.max("unit_order").over(_page())
-        units = F.size(F.collect_set("unit_order").over(_page()))
-        kept = kept.withColumns({"_last": last, "_units": units}).filter(
-            ~((F.col("unit_order") == F.col("_last")) & F.col("_in_child") & (F.col("_units") >= 3)))
-    return kept.select("page_id", "pos", "tag", "role", "unit_order", "text", "plain", "n_stop",
-                       "n_words", "adopted")
+        # A trailing child container of three or more units is not content.
+        kept_order = F.when(F.col("keep"), F.col("unit_order"))
+        units = F.size(F.collect_set(kept_order).over(_page()))
+        trailing = (
+            (F.col("unit_order") == F.max(kept_order).over(_page())) & F.col("_in_child") & (units >= 3))
+        d = d.withColumn("keep", F.col("keep") & ~F.coalesce(trailing, F.lit(False)))
+    return d.select(
+        "page_id", "pos", "tag", "role", "unit_order", "text", "plain", "n_stop", "n_words",
+        "adopted", "keep", "links", "videos", "first_image",
+        (F.col("in_top") & ~F.col("dropped")).alias("in_top"))
 
 
-def body_text(kept: DataFrame) -> DataFrame:
-    """``(page_id, text)``: units joined by a blank line, entities decoded."""
-    ordered = F.array_sort(F.collect_list(F.struct("unit_order", "pos", "text")))
-    rows = kept.groupBy("page_id").agg(ordered.alias("r"))
+def kept_blocks(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
+    """Blocks that make the body, with their output order."""
+    return body_rows(scored_rows, lenient).filter("keep").drop("links", "videos", "in_top", "keep")
+
+
+def _glue(parts: Column) -> Column:
+    """Text of ordered (unit_order, pos, text) parts: units apart by a blank line."""
     glued = F.aggregate(
-        "r",
+        F.array_sort(parts),
         F.struct(F.lit(None).cast("struct<a:int,b:int,c:int>").alias("u"), F.lit("").alias("t")),
         lambda acc, x: F.struct(
             x["unit_order"].alias("u"),
-            F.when(acc["u"].isNull(), x["text"])
-            .when(acc["u"] == x["unit_order"], F.concat(acc["t"], F.lit(" "), x["text"]))
-            .otherwise(F.concat(acc["t"], F.lit("\n\n"), x["text"])).alias("t")),
+            F.concat(
+                acc["t"],
+                F.when(acc["u"].isNull(), "").when(acc["u"] == x["unit_order"], " ").otherwise("\u0003"),
+                x["text"]).alias("t")),
         lambda acc: acc["t"],
     )
-    # A line break inside a unit separates paragraphs; the blank lines put in
-    # between units are already doubled.
-    doubled = F.regexp_replace(F.replace(glued, F.lit("\n\n"), F.lit("\u0003")), "\n", "\n\n")
-    return rows.select("page_id", T.unescape(F.replace(doubled, F.lit("\u0003"), F.lit("\n\n"))).alias("text"))
+    # A line break inside a unit separates paragraphs, like the unit ends do.
+    return T.unescape(F.replace(
+        F.replace(glued, F.lit("\n"), F.lit("\n\n")), F.lit("\u0003"), F.lit("\n\n")))
+
+
+def body_text(kept: DataFrame) -> DataFrame:
+    """``(page_id, text)``: units joined by a blank line, entities decoded."""
+    parts = F.collect_list(F.struct("unit_order", "pos", "text"))
+    return kept.groupBy("page_id").agg(parts.alias("parts")).select(
+        "page_id", _glue(F.col("parts")).alias("text"))
+
+
+def page_bodies(rows: DataFrame) -> DataFrame:
+    """One row per page from ``body_rows``: text, links, videos, first image.
+
+    All of them leave in one aggregate, so the block rows are computed once.
+    """
+    top = F.col("in_top")
+    d = rows.groupBy("page_id").agg(
+        F.collect_list(F.when(F.col("keep"), F.struct("unit_order", "pos", "text"))).alias("parts"),
+        F.collect_list(F.when(top & (F.size("links") > 0), F.struct("pos", "links"))).alias("l"),
+        F.collect_list(F.when(top & (F.size("videos") > 0), F.struct("pos", "videos"))).alias("v"),
+        F.min_by(F.when(top, F.col("first_image")),
+                 F.when(top & F.col("first_image").isNotNull(), F.col("pos"))).alias("body_image"),
+    )
+    return d.select(
+        "page_id",
+        F.when(F.size("parts") > 0, _glue(F.col("parts"))).alias("text"),
+        F.filter(F.flatten(F.transform(F.array_sort("l"), lambda x: x["links"])),
+                 lambda x: x["url"] != "").alias("links"),
+        F.flatten(F.transform(F.array_sort("v"), lambda x: x["videos"])).alias("videos"),
+        "body_image",
+    )
 
 
 def body_links(scored_rows: DataFrame) -> DataFrame:

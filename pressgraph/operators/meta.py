@@ -232,7 +232,7 @@ def parse_byline(line: Column | str) -> Column:
     t = F.col(line) if isinstance(line, str) else line
     t = F.regexp_replace(t, r"<[^<]+?>", "")
     t = F.trim(F.regexp_replace(t, r"[bB][yY][\:\s]|[fF]rom[\:\s]", ""))
-    parts = F.transform(F.split(t, r"[^\w'\-]"), F.trim)
+    parts = F.transform(F.split(t, r"[^\w'\-]"), lambda x: F.trim(x))
     start = F.struct(_empty().alias("done"), _empty().alias("cur"))
 
     def step(acc: Column, token: Column) -> Column:
@@ -283,7 +283,7 @@ def tags() -> Column:
 
 def keyword_list(keywords: Column | str) -> Column:
     k = F.col(keywords) if isinstance(keywords, str) else keywords
-    return F.transform(F.split(k, ","), F.trim)
+    return F.transform(F.split(k, ","), lambda x: F.trim(x))
 
 
 def meta_tree() -> Column:
@@ -331,10 +331,14 @@ def truncate(df: DataFrame) -> DataFrame:
     return df.withColumns(present) if present else df
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """All page-level metadata, one narrow row per page."""
+def metadata(pages: DataFrame, **extra: Column) -> DataFrame:
+    """All page-level metadata, one narrow row per page.
+
+    ``extra`` names further columns to compute from the same head columns.
+    """
     d = with_head(pages)
     return d.select(
+        *[c.alias(n) for n, c in extra.items()],
         "page_id", "url", U.host("url").alias("domain"), title().alias("title"),
         authors().alias("authors"), publish_raw().alias("publish_raw"),
         meta_language().alias("lang"), meta_content("name", "description").alias("description"),

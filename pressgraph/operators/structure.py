@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pressgraph import constants as K
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
+from pressgraph.operators import media as V
 
 CONTAINER_TAGS = [
     "html", "head", "body", "div", "article", "section", "header", "footer", "nav", "main",
@@ -44,7 +45,7 @@ PAGE_BYTES_PER_TASK = 32 << 20
 
 
 def page_tasks(pages: DataFrame) -> int:
-    """Number of page partitions: by input size, at least the shuffle setting.
+    """Number of page partitions: by scanned bytes, at least the shuffle setting.
 
     Cutting a page into rows costs far more CPU than its bytes suggest, so
     partitions are kept smaller than the usual file split and are not merged
@@ -52,7 +53,9 @@ def page_tasks(pages: DataFrame) -> int:
     """
     spark = pages.sparkSession
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Sizes of the scans, not of the plan: estimates above a join multiply.
+    leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return max(floor, min(size // PAGE_BYTES_PER_TASK, 1_000_000))
 
 
@@ -239,6 +242,10 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
         "known_rule": F.when((F.col("kind") == "open") & is_container, known),
         "known_exact": (F.col("kind") == "open") & is_container & exact,
         "links": F.when(has_link, links).otherwise(no_links),
+        "videos": V.videos(F.when(F.col("seg").rlike(r"(?i)<(iframe|embed|object)\b"), F.col("seg"))
+                           .otherwise(F.lit(""))),
+        "first_image": F.nullif(H.attribute(F.regexp_extract(
+            "body", r"(?is)<img\b[^>]*>", 0), "src"), F.lit("")),
         "has_media": F.col("body").rlike(r"(?i)<(img|object|embed)\b"),
         "raw_text": T.unescape(H.strip_tags(F.regexp_replace("body", r"(?i)<br\b[^>]*>", "\u0002"))),
     })

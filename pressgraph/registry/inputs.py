@@ -110,3 +110,98 @@ HOST_SQL = (
 
 def host_sql(u: str) -> str:
     return HOST_SQL.format(u=u)
+
+
+# --- press pages: article pages written from documents ------------------------
+# Lines become paragraphs; title, authors, dates and links are placed in the
+# markup the extractors look for, so expected values are known from the tables.
+def _escape(c):
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def press_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    words = F.filter(
+        F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), lambda w: w != "")
+    return (
+        d.join(c, d.doc_id == c.c_custkey, "left")
+        .select(
+            F.col("doc_id").alias("page_id"), "text", "lang", "source",
+            F.concat(F.lit("http://www."), "source", F.lit(".example.com/2024/03/"),
+                     F.col("doc_id").cast("string"), F.lit("/story.html")).alias("url"),
+            F.array_join(F.slice(words, 1, 6), " ").alias("headline"),
+            F.coalesce(F.col("c_acctbal"), F.lit(0.0)).alias("amount"),
+            F.date_format(F.date_add(F.lit("2024-01-01").cast("date"),
+                                     F.pmod("doc_id", F.lit(366)).cast("int")), "yyyy-MM-dd").alias("day"),
+        )
+    )
+
+
+def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = press_fields(spark, sf_dir)
+    L = F.lit
+    paragraphs = F.array_join(
+        F.transform(F.split(_escape(F.col("text")), "\n"),
+                    lambda x: F.concat(L("<p>"), x, L("</p>"))), "\n")
+    pid = F.col("page_id").cast("string")
+    html = F.concat(
+        L('<!DOCTYPE html>\n<html lang="'), "lang", L('-XX">\n<head><title>'), "source",
+        L(" | "), "headline", L('</title>\n<meta property="og:title" content="'), "headline",
+        L(" - "), "source", L('">\n<meta property="og:site_name" content="'), "source",
+        L('">\n<meta property="og:type" content="article"><meta property="og:title" content="'),
+        "source", L(" - "), "headline",
+        L('">\n<meta property="og:image" content="/img/'), pid,
+        L('.jpg"><meta name="description" content=" About &quot;'), "headline",
+        L('&quot; "><meta name="keywords" content="'), "lang", L(", "), "source",
+        L('">\n<meta property="article:published_time" content="'), "day",
+        L('T08:30:00Z"><meta name="words" content="'), pid,
+        L('"><link rel="canonical" href="/story/'), pid,
+        L('"><link rel="shortcut icon" href="/icons/'), "source",
+        L('.ico">\n<style>p{color:red}</style><script>document.write("<p>no</p>")</script></head>\n<body class="site-footer">'),
+        L('<div class="navbar"><p>'), _escape(F.col("text")),
+        L('</p></div>\n<div id="main"><h1>'), "headline", L('</h1>\n<span itemprop="name">Ann <b>'),
+        "source", L('</b></span><div class="byline">By: Ann '), "source",
+        L(' Lee, Bo Chan and Cy Dee</div>\n<div class="text">'), paragraphs,
+        L('</div>\n<div class="links-box"><p><a href="/tag/'), "lang", L('">'), "lang",
+        L('</a> <a href="http://other.example/'), pid, L('">'), "headline",
+        L('</a></p></div></div>\n<iframe src="http://www.youtube.com/embed/'), pid,
+        L('" width="560" height="315"></iframe></body></html>'))
+    return f.select("page_id", "url", html.alias("html"))
+
+
+PRESS_SQL = """
+press AS (
+  SELECT doc_id AS page_id, text, lang, source,
+    'http://www.' || source || '.example.com/2024/03/' || doc_id || '/story.html' AS url,
+    array_to_string(list_filter(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '),
+                                lambda w: w <> '')[1:6], ' ') AS headline,
+    strftime(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER), '%Y-%m-%d') AS day
+  FROM documents)
+"""
+
+
+def quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def stop_word_sql() -> str:
+    """Stop words of the table languages as a CTE (lang, ws)."""
+    from pressgraph.functions.text import stop_words
+
+    return "stops AS (" + " UNION ALL ".join(
+        f"SELECT '{lang}' AS lang, [{quoted(stop_words(lang))}] AS ws"
+        for lang in ("en", "fr", "de", "es")) + ")"
+
+
+def trim_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
+
+
+def count_stops_sql(text: str, ws: str = "ws") -> str:
+    return (
+        f"CASE WHEN {text} = '' THEN 0 ELSE len(list_filter(string_split(lower(regexp_replace({text}, "
+        f"'[!-/:-@\\[-`{{-~]', '', 'g')), ' '), lambda w: list_contains({ws}, w))) END"
+    )
