@@ -25,6 +25,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> dict[str, tuple[Query, str | None]]:
-    from pressgraph.registry import graph, pages, text, urls  # noqa: F401
+    from pressgraph.registry import (  # noqa: F401
+        crawl, graph, media, pages, streams, text, urls,
+    )
 
     return REGISTRY
