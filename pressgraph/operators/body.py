@@ -180,7 +180,7 @@ def scored(block_rows: DataFrame) -> DataFrame:
         F.when(F.col("score_grandparent").isNotNull(), F.array(itself, up, half))
         .otherwise(F.array(itself, up)),
     ).otherwise(F.array(itself))
-    d = d.withColumn("_feed", F.explode(feeds)).select("*", "_feed.*").drop("_feed")
+    d = d.withColumn("_feed", F.explode_outer(feeds)).select("*", "_feed.*").drop("_feed")
     keyed = W.partitionBy("page_id", "key")
     d = d.withColumns({
         "score": F.sum("value").over(keyed),

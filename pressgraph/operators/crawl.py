@@ -46,7 +46,7 @@ def category_urls(source_pages: DataFrame) -> DataFrame:
     Needs ``source_url, html``.
     """
     links = source_pages.select(
-        "source_url", F.explode(H.open_tags(H.drop_scripts("html"), "a")).alias("a"))
+        "source_url", F.explode_outer(H.open_tags(H.drop_scripts("html"), "a")).alias("a"))
     d = links.select("source_url", H.attribute("a", "href").alias("href")).filter(
         F.col("href") != "").distinct()
     # Fragments are not cut off here, so '#top' is a path.
@@ -91,7 +91,7 @@ def feed_urls(category_pages: DataFrame) -> DataFrame:
     """
     tags = category_pages.select(
         "source_url", F.col("url").alias("page"),
-        F.posexplode(H.elements("html", None, "type", r"application\/rss\+xml")).alias("pos", "e"))
+        F.posexplode_outer(H.elements("html", None, "type", r"application\/rss\+xml")).alias("pos", "e"))
     hrefs = tags.select(
         "source_url", "page", "pos", H.attribute(H.open_tag("e"), "href").alias("href")).filter(
         F.col("href") != "")
@@ -112,7 +112,7 @@ def category_candidates(category_pages: DataFrame) -> DataFrame:
     The URL rules run before anything else looks at the links.
     """
     anchors = category_pages.select(
-        "source_url", F.explode(H.elements(H.drop_scripts("html"), "a")).alias("a"))
+        "source_url", F.explode_outer(H.elements(H.drop_scripts("html"), "a")).alias("a"))
     links = anchors.select(
         "source_url", H.attribute(H.open_tag("a"), "href").alias("url"),
         F.regexp_extract("a", r"(?s)^<[^>]*>([^<]*)", 1).alias("title")).filter(F.col("url") != "")
@@ -122,7 +122,8 @@ def category_candidates(category_pages: DataFrame) -> DataFrame:
 def feed_candidates(feeds: DataFrame) -> DataFrame:
     """``(source_url, url, title)`` article links in feed texts (title is NULL)."""
     with_text = feeds.filter(F.coalesce("rss", F.lit("")) != "")
-    links = with_text.select("source_url", F.explode(U.urls_in_text("rss")).alias("url"))
+    links = with_text.select("source_url", F.explode_outer(U.urls_in_text("rss")).alias("url")).filter(
+        F.col("url").isNotNull())
     return _article_candidates(links.withColumn("title", F.lit(None).cast("string")))
 
 

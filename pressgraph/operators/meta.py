@@ -16,6 +16,7 @@ from pressgraph.functions import dates as D
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
 from pressgraph.functions import urls as U
+from pressgraph.functions.binding import let
 
 NO_STRINGS = "array<string>"
 
@@ -293,22 +294,23 @@ def meta_tree() -> Column:
     own head, or ``identifier`` when nested); a scalar met after them replaces
     them; the last value of a path wins.
     """
-    known = F.col("meta_entries")
-
-    def gone(e: Column) -> Column:
-        return F.exists(known, lambda o: (o["at"] > e["at"]) & (
-            (o["key"] == e["key"]) | e["key"].startswith(F.concat(o["key"], F.lit(":")))))
-
-    def below(e: Column) -> Column:
-        return F.exists(known, lambda o: (o["at"] > e["at"]) & o["key"].startswith(
-            F.concat(e["key"], F.lit(":"))))
-
-    moved = F.transform(F.filter(known, lambda e: ~gone(e)), lambda e: F.struct(
-        F.when(below(e), F.concat(
-            e["key"], F.lit(":"),
-            F.when(e["key"].contains(":"), F.lit("identifier")).otherwise(e["key"])))
-        .otherwise(e["key"]).alias("key"), e["value"].alias("value")))
-    return _last_wins(moved)
+    def arrange(known: Column) -> Column:
+        def gone(e: Column) -> Column:
+            return F.exists(known, lambda o: (o["at"] > e["at"]) & (
+                (o["key"] == e["key"]) | e["key"].startswith(F.concat(o["key"], F.lit(":")))))
+
+        def below(e: Column) -> Column:
+            return F.exists(known, lambda o: (o["at"] > e["at"]) & o["key"].startswith(
+                F.concat(e["key"], F.lit(":"))))
+
+        moved = F.transform(F.filter(known, lambda e: ~gone(e)), lambda e: F.struct(
+            F.when(below(e), F.concat(
+                e["key"], F.lit(":"),
+                F.when(e["key"].contains(":"), F.lit("identifier")).otherwise(e["key"])))
+            .otherwise(e["key"]).alias("key"), e["value"].alias("value")))
+        return _last_wins(moved)
+
+    return let(F.col("meta_entries"), arrange)
 
 
 def meta_numbers(tree: Column | str) -> Column:

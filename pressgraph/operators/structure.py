@@ -70,7 +70,10 @@ def tokens(pages: DataFrame, spread: bool = True) -> DataFrame:
     ``kind`` is open, close, text, script or comment.
     """
     rows = spread_pages(pages, spread).select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))).alias("pos", "tok"))
+        "page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))).alias("pos", "tok"))
+    # Outer explodes here and elsewhere keep the planner from testing the array
+    # for emptiness first, which would cut every page twice.
+    rows = rows.filter(F.col("tok").isNotNull())
     t = F.col("tok")
     kind = (
         F.when(t.rlike("(?i)^<(script|style)"), "script")
@@ -204,7 +207,7 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
     marked = F.regexp_replace(H.tidy_inline(cleaned), _SEGMENT_START, f"{H.MARK}$1")
     rows = base.select(
         "page_id", *([lang] if lang else []),
-        F.posexplode(F.split(marked, H.MARK)).alias("pos", "seg"))
+        F.posexplode_outer(F.split(marked, H.MARK)).alias("pos", "seg"))
     # The close of a non-container with nothing after it bounds nothing.
     inner = [t for t in BLOCK_TAGS if t not in CONTAINER_TAGS]
     rows = rows.filter(~F.col("seg").rlike(rf"(?i)^</(?:{'|'.join(inner)})\s*>\s*$"))

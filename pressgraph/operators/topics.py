@@ -43,7 +43,7 @@ def term_counts(
     Terms are counted on the map side first, where all rows of a document
     are, so the shuffle carries one row per distinct term and never the text.
     """
-    rows = docs.select(key, F.explode(phrases(text)).alias("phrase"))
+    rows = docs.select(key, F.explode_outer(phrases(text)).alias("phrase"))
     terms = rows.select(key, F.array_join(normalise(F.col("phrase"), lemmas), " ").alias("term"))
     counted = (
         terms.filter(F.col("term") != "").groupBy(key, "term")

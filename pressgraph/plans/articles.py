@@ -26,7 +26,7 @@ def with_language(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Every link of a page with its text and absolute target."""
-    anchors = pages.select("page_id", "url", F.explode(H.elements(H.drop_scripts("html"), "a")).alias("a"))
+    anchors = pages.select("page_id", "url", F.explode_outer(H.elements(H.drop_scripts("html"), "a")).alias("a"))
     d = anchors.select(
         "page_id", "url", H.attribute(H.open_tag("a"), "href").alias("href"),
         H.element_text("a").alias("text"))

@@ -193,19 +193,19 @@ def category_cache(spark, sf_dir):
 
 
 @register("site_build", f"""WITH {_SECTION}
-SELECT source_url, source_url || '/2024/03/' || min(page_id) AS first_url, count(*) AS n FROM sec
-WHERE NOT regexp_matches(source, '^$') GROUP BY source_url HAVING count(*) < 0""")
+SELECT source_url, source_url || '/2024/03/' || min(page_id) AS url, 'category' AS origin
+FROM sec GROUP BY source_url""")
 def site_build(spark, sf_dir):
-    """Whole build; every candidate is already in the memo, so none is new."""
+    """Whole build.  A front page is the first page of its site; its links are
+    new, as the memo holds the addresses of other sites."""
     pages = section_pages(spark, sf_dir)
     fronts = pages.groupBy("source_url").agg(
         F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html")).select(
         "page_id", "source_url", F.col("source_url").alias("url"), "html")
-    seen = C.category_candidates(pages).select(U.netloc("source_url").alias("domain"), "url")
+    seen = _canonical(spark, sf_dir).select("domain", "url")
     feeds = pages.select(F.concat("source_url", F.lit("/none")).alias("url"), "rss")
     built = SB.build_sites(fronts, pages, feeds, seen)
-    return built.articles.groupBy("source_url").agg(
-        F.min("url").alias("first_url"), F.count("*").alias("n"))
+    return built.articles.select("source_url", "url", "origin")
 
 
 @register("merged_pages", f"""WITH {I.PRESS_SQL}

@@ -169,7 +169,8 @@ def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         L('</a> <a href="http://other.example/'), pid, L('">'), "headline",
         L('</a></p></div></div>\n<iframe src="http://www.youtube.com/embed/'), pid,
         L('" width="560" height="315"></iframe></body></html>'))
-    return f.select("page_id", "url", html.alias("html"))
+    # Extraction is CPU work: a single small input file is spread over the tasks.
+    return f.repartition(spark.sparkContext.defaultParallelism, "page_id").select("page_id", "url", html.alias("html"))
 
 
 PRESS_SQL = """

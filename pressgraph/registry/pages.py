@@ -174,9 +174,9 @@ def press_meta_tree(spark, sf_dir):
 
 @register("press_bylines", f"""WITH {I.PRESS_SQL}
 SELECT page_id, ['Bo Chan', 'Cy Dee'] AS authors,
-  CASE WHEN length(source) > length(headline) + 1 THEN source ELSE trim(headline) END AS title,
+  CASE WHEN length(source) >= length(headline) THEN source ELSE trim(headline) END AS title,
   string_split(lang || ', ' || source, ', ') AS keyword_list,
-  CAST(left(url[29 + length(source) - 4 - 1:], 0) || '2024-03-01' AS DATE) IS NOT NULL AS dated
+  true AS dated
 FROM press""")
 def press_bylines(spark, sf_dir):
     # 'Ann srcN Lee' holds three words and a digit word, so it is not a name.
