@@ -272,9 +272,12 @@ def press_body_text(spark, sf_dir):
 
 @register("press_full_text", f"""WITH {I.PRESS_SQL}, {I.stop_word_sql()}, {_PRESS_PARAS},
 ok AS (SELECT DISTINCT page_id FROM paras WHERE n_stop > 2)
-SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text
-FROM paras JOIN ok USING (page_id) WHERE plain <> '' GROUP BY page_id""")
+SELECT page_id, 'Ann ' || any_value(source) || chr(10) || chr(10)
+  || string_agg(t, chr(10) || chr(10) ORDER BY i) AS text
+FROM paras JOIN ok USING (page_id) JOIN (SELECT page_id, source FROM press) USING (page_id)
+WHERE plain <> '' GROUP BY page_id""")
 def press_full_text(spark, sf_dir):
+    # The by-line span stands beside the body and is adopted as a paragraph.
     return B.full_text(A.with_language(I.press_pages(spark, sf_dir)), lenient=True)
 
 
