@@ -52,7 +52,7 @@ def test_frontier_and_memo(spark):
 
 def test_top_k_and_limits_stay_out_of_full_sorts(spark):
     df = spark.range(1000).select(
-        F.col("id").cast("string").alias("url"), F.lit("s").alias("source_url"), F.col("id").alias("date"))
+        F.col("id").cast("string").alias("url"), (F.col("id") % 3).cast("string").alias("source_url"), F.col("id").alias("date"))
     plan = Q.top_nodes(df, "date", 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     plan = C.sample_articles(df)._jdf.queryExecution().executedPlan().toString()
