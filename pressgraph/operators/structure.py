@@ -42,6 +42,7 @@ _WIDGET = H.attribute_pattern(["id", "class"], K.WIDGET_PATTERNS)
 
 
 PAGE_BYTES_PER_TASK = 32 << 20
+UNKNOWN_BYTES = 1 << 60
 
 
 def page_tasks(pages: DataFrame) -> int:
@@ -53,9 +54,11 @@ def page_tasks(pages: DataFrame) -> int:
     """
     spark = pages.sparkSession
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Sizes of the scans, not of the plan: estimates above a join multiply.
+    # Sizes of the scans, not of the plan: estimates above a join multiply.  A
+    # source that cannot tell its size reports a huge default and is left out.
     leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < UNKNOWN_BYTES)
     return max(floor, min(size // PAGE_BYTES_PER_TASK, 1_000_000))
 
 
