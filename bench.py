@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 HEADLINE = [
@@ -35,6 +36,7 @@ def main() -> None:
             start = time.time()
             query(spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(times.values()), 3),

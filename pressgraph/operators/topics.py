@@ -19,15 +19,15 @@ def phrases(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(K.PHRASE_PATTERN), F.lit(0))
 
 
-def normalise(phrase: Column, lemmas: dict[str, str] | None = None) -> Column:
-    """Distinct accepted words of a phrase, lower case, in order.
+def normalise(phrase: str, lemmas: dict[str, str] | None = None) -> Column:
+    """Distinct accepted words of a phrase column, lower case, in order.
 
     ``lemmas`` is an optional word -> base form dictionary (a small constant).
     """
     listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in T.stop_words("en"))
-    words = F.split(F.lower(phrase), " ")
-    fits = F.filter(words, lambda w: F.length(w).between(K.MIN_TERM_WORD, K.MAX_TERM_WORD))
-    kept = F.array_except(fits, F.expr(f"array({listed})"))
+    kept = F.expr(
+        f"array_distinct(filter(split(lower({phrase}), ' '), w -> length(w) BETWEEN "
+        f"{K.MIN_TERM_WORD} AND {K.MAX_TERM_WORD} AND w NOT IN ({listed})))")
     if lemmas:
         table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
         kept = F.array_distinct(
@@ -44,7 +44,7 @@ def term_counts(
     are, so the shuffle carries one row per distinct term and never the text.
     """
     rows = docs.select(key, F.explode_outer(phrases(text)).alias("phrase"))
-    terms = rows.select(key, F.array_join(normalise(F.col("phrase"), lemmas), " ").alias("term"))
+    terms = rows.select(key, F.array_join(normalise("phrase", lemmas), " ").alias("term"))
     counted = (
         terms.filter(F.col("term") != "").groupBy(key, "term")
         .agg(F.count("*").cast("int").alias("score"))
