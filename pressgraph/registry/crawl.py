@@ -212,7 +212,7 @@ def site_build(spark, sf_dir):
 SELECT unnest(['articles', 'domains', 'texts']) AS name,
   unnest([count(*), count(DISTINCT source), count(*)]) AS n FROM press""")
 def merged_pages(spark, sf_dir):
-    """The whole merge of press pages into an empty graph, twice over."""
+    """The whole merge of press pages into an empty graph."""
     pages = I.press_pages(spark, sf_dir)
     from pressgraph import schemas as S
 
