@@ -48,6 +48,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders that materialise() wrote in this session.
+_WRITTEN: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; ``release`` deletes it."""
+    target = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(target)
+    return target
+
+
 def materialise(df, name: str):
     """Cut lineage: write once to the shared folder and read the result back.
 
@@ -55,6 +66,16 @@ def materialise(df, name: str):
     and never the whole upstream job.
     """
     spark = df.sparkSession
-    target = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(target)
+    target = scratch_path(spark, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``materialise`` wrote in this session; frames that still read it end with this."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
