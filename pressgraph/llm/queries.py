@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgraph.llm import exact, mixing
+from pressgraph.llm import decontaminate, exact, langid, mixing, tokens, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,60 @@ FROM p
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), quality=quality_weights(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    found = langid.identify(docs, learn=~F.col("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+WORDS_OF = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op5_decontaminate", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{WORDS_OF}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '{WORDS_OF}') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[p:p + least(len(w), 10) - 1] AS win
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, n, p, w[p:p + n - 1] AS win
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT r, p, n, item_id FROM dw JOIN iw USING (n, win)),
+hit AS (SELECT r, count(DISTINCT h) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS h FROM m) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.coalesce(F.array_join("items", ","), F.lit(""))
+    return found.select(
+        "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(listed.cast("binary"), 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("toxic").alias("label"))
+    machine = toxicity.fit(*toxicity.sample(docs.filter(~held_out()).select("doc_id", "text"), labels))
+    scores = toxicity.score(docs, machine)
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
