@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from pressgraph.llm import common as C
 from pressgraph.llm.decontaminate import words
 
-BUCKETS, FACTORS, LEAST, CHI = 1 << 20, 8, 4, 6.6
+BUCKETS, FACTORS, LEAST, CHI = 1 << 20, 8, 4, 10.8
 POSITIVE, NEGATIVE = 4096, 12288
-EPOCHS, BATCH, RATE, L2 = 12, 64, 0.05, 2e-5
+EPOCHS, BATCH, RATE, L2 = 25, 64, 0.1, 1e-5
 #: Terms scored side by side.
 SIDE = 4_000_000
 
