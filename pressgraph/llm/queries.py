@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgraph.llm import decontaminate, exact, langid, mixing, tokens, toxicity
+from pressgraph.llm import decontaminate, exact, langid, mixing, tokens, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(*toxicity.sample(docs.filter(~held_out()).select("doc_id", "text"), labels))
     scores = toxicity.score(docs, machine)
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_warc_from_arc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM q
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_key").cast("long").alias("refers_to"))
