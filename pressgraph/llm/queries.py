@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgraph.llm import decontaminate, exact, langid, mixing, tokens, toxicity, warc
+from pressgraph.llm import decontaminate, exact, langid, minhash, mixing, tokens, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -154,3 +154,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_key").cast("long").alias("refers_to"))
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
