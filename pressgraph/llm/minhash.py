@@ -147,7 +147,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(id, n, token): the shortest shared lists of each class; a token is a coordinate with its value."""
+    """(id, n, token, company): the shortest shared lists of each class; a token is a coordinate with its value.
+
+    ``company`` is the length of all shared lists of the class: the more, the nearer it is to the middle of its group.
+    """
     def post(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
@@ -160,13 +163,19 @@ def postings(classes: DataFrame) -> DataFrame:
     shared = posts.join(sizes, "token").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("size", "token"))).alias("lists"))  # COORDINATES at most
     prefix = F.slice("lists", 1, F.size("lists") - AGREE + 1)
-    chosen = shared.filter(F.size("lists") >= AGREE).select("id", F.explode(prefix["token"]).alias("token"))
+    company = F.aggregate("lists.size", F.lit(0).cast("long"), lambda x, y: x + y)
+    chosen = shared.filter(F.size("lists") >= AGREE).select(
+        "id", company.alias("company"), F.explode(prefix["token"]).alias("token"))
     return chosen.join(classes.select("id", "n"), "id")
 
 
 def hub_pairs(posts: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a < b: each class with the hub of each of its lists, unless one component holds both."""
-    first = F.min_by(F.struct("id", "n", "comp"), F.struct(F.xxhash64("id", F.lit(seed)), "id")).alias("hub")
+    """(a, b), a < b: each class with the hub of each of its lists, unless one component holds both.
+
+    The hub of the first round is the class in the most company, later ones are drawn by hash.
+    """
+    rank = F.struct(-F.col("company"), "id") if seed == 0 else F.struct(F.xxhash64("id", F.lit(seed)), "id")
+    first = F.min_by(F.struct("id", "n", "comp"), rank).alias("hub")
     hubs = posts.groupBy("token").agg(first, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     met = posts.join(hubs, "token").filter(F.col("comp") != F.col("hub.comp"))
     return met.filter(similar_sizes(F.col("n"), F.col("hub.n"))).select(
@@ -256,7 +265,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labelled = posts.withColumn("comp", F.col("id"))
         if found is not None:
             labelled = posts.join(found, posts["id"] == found["node"], "left").select(
-                "id", "n", "token", F.coalesce("root", "id").alias("comp"))
+                "id", "n", "token", "company", F.coalesce("root", "id").alias("comp"))
         labelled = materialise(labelled, "labelled")
         pairs = hub_pairs(labelled, turn) if turn < ROUNDS else all_pairs(labelled)
         new = materialise(confirmed(materialise(agreeing(pairs, classes), "agreeing"), texts, size), "links")
