@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgraph.llm import decontaminate, exact, langid, minhash, mixing, tokens, toxicity, warc
+from pressgraph.llm import chat, decontaminate, exact, langid, minhash, mixing, repeats, tokens, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,3 +160,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op6_repeated_passages")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Speaker markers of the four transcript styles: user, assistant, others.
+STYLES = (("User: ", "Assistant: ", "System: "), ("Human> ", "AI> ", "[system] "), ("Q. ", "A. ", "Note. "), ("**Me:** ", "**Bot:** ", "# "))
+
+
+def raw_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines (conv, part, pos, line, role, begins) of transcripts written from ``conversations``.
+
+    The style is one of four by conversation; one turn in eight has no marker.
+    """
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("conv"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"),
+        F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    style = F.pmod(F.xxhash64("conv"), F.lit(len(STYLES)))
+
+    def of(place: int):
+        return F.element_at(F.array(*[F.lit(s[place]) for s in STYLES]), (style + 1).cast("int"))
+
+    marker = F.when(F.pmod(F.xxhash64("conv", "turn", F.lit("bare")), F.lit(8)) == 0, "").when(
+        F.col("role") == "user", of(0)).when(F.col("role") == "assistant", of(1)).otherwise(of(2))
+    lines = c.withColumn("marker", marker).select("*", F.posexplode(F.split("text", "\n")).alias("i", "piece"))
+    return lines.select(
+        "conv", F.floor(F.col("turn") / 256).cast("long").alias("part"),
+        (F.col("turn") * (1 << 20) + F.col("i")).alias("pos"),
+        F.when(F.col("i") == 0, F.concat("marker", "piece")).otherwise(F.col("piece")).alias("line"), "role",
+        (F.col("i") == 0).alias("begins"))
+
+
+@query("op2_chat_turns")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_transcripts(spark, sf_dir)
+    model = chat.learn(lines.filter(~held_out("conv")))
+    found = chat.turns(lines.select("conv", "part", "pos", "line"), model)
+    return found.select(F.col("conv").alias("conv_id"), held_out("conv").alias("held_out"), "turn", "role", "n_lines", "text", "rendered")
