@@ -262,9 +262,10 @@ def learn(lines: DataFrame) -> Model:
     """Fit on a sample of labelled lines (conv, part, pos, line, role, begins): about SAMPLE parts, drawn by hash."""
     parts = lines.select("conv", "part").distinct()
     share = min(1.0, SAMPLE / max(1, parts.count()))
-    chosen = parts.filter(F.pmod(F.xxhash64("conv", "part"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = lines.join(F.broadcast(chosen), C.same(lines, chosen, ("conv", "conv"), ("part", "part"))).select(
-        lines["conv"], lines["part"], "pos", "line", "role", "begins").toArrow().to_pylist()
+    chosen = parts.filter(F.pmod(F.xxhash64("conv", "part"), F.lit(1 << 30)) < share * (1 << 30)).select(
+        F.col("conv").alias("_conv"), F.col("part").alias("_part"))
+    rows = lines.join(F.broadcast(chosen), F.col("conv").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part"))).select(
+        "conv", "part", "pos", "line", "role", "begins").toArrow().to_pylist()
     rows.sort(key=lambda r: (str(r["conv"]), r["part"], r["pos"]))
     found: dict = {}
     for r in rows:
