@@ -44,7 +44,7 @@ from pressgraph.session import materialise
 LENGTH, GRAM = 200, 32
 CROWD = 2000
 #: Suffixes of a shard, and bytes of text hashed side by side.
-SHARD, SIDE = 100_000, 4_000_000
+SHARD, SIDE = 100_000, 1_000_000
 _LOW = np.uint64(0xFFFFFF)
 
 
