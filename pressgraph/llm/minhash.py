@@ -327,9 +327,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         F.count("*").alias("_rows"), F.first("component_id").alias("_group"), F.min("n_shingles").alias("_n"))
     # Equal ids with different texts of one group: the text with the least hash stays.
     best = kept.filter("_n > 0").groupBy("_keep", "_group").agg(F.min("_keep_k").alias("_best"), F.count("*").alias("_texts"))
-    crowded = best.filter("_texts > 1")
-    marked = kept.join(crowded, C.same(kept, crowded, ("_keep", "_keep")), "left").select(
-        kept["_keep"], kept["_keep_k"], kept["_rows"], kept["_n"], "_best").filter(
+    crowded = best.filter("_texts > 1").select(F.col("_keep").alias("_crowded"), "_best")
+    marked = kept.join(crowded, F.col("_keep").eqNullSafe(F.col("_crowded")), "left").select(
+        "_keep", "_keep_k", "_rows", "_n", "_best").filter(
         F.col("_best").isNull() | F.col("_keep").isNull() | (F.col("_n") == 0) | (F.col("_keep_k") == F.col("_best")))
     keyed = df.withColumn("_own", F.xxhash64(F.col(text_col)))
     joined = keyed.join(marked, keyed[id_col].eqNullSafe(marked["_keep"]) & (keyed["_own"] == marked["_keep_k"]))
