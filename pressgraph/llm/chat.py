@@ -11,8 +11,9 @@ turns are then rendered in one canonical form, markers removed.
 Long transcripts are handled in parts of bounded length.  Each part yields the
 best score from every entry state to every exit state; these matrices are
 combined in order (a max-plus product is associative), which fixes the states
-at the borders, and every part is then traced alone.  The result is that of one
-Viterbi run over the whole, and no task holds a whole transcript.
+at the borders, and every part is then traced alone.  The result is as likely as
+that of one Viterbi run over the whole (equally likely paths may differ), and no
+task holds a whole transcript.
 
 Defined cases: null lines are blank lines; a null conversation id is an id like
 any other; equal positions are ordered by their text; repeated lines are lines;
