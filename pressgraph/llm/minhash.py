@@ -20,8 +20,8 @@ goes with each class: two bits agree with probability (1 + similarity) / 2, so
 pairs that differ in more than DIFFER bits are left out of the join itself, with
 a chance below one in a million to miss a link.  Pairs
 within a long list are not all compared: each list has a hub in each of ROUNDS
-rounds, every class is compared with the hubs of its lists, and classes that
-are linked become one component.  A last round then compares, in each list, the
+rounds, every class is compared with the hub that it meets in most of its lists,
+and classes that are linked become one component.  A last round then compares, in each list, the
 classes that still belong to different components, all of them, so no link
 between components is lost.
 
@@ -187,16 +187,16 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def hub_pairs(posts: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a < b: each class with the hub of each of its lists, unless one component holds both.
+    """(a, b), a < b: each class with one hub of another component, the one that it meets in most of its lists.
 
-    The hub of the first round is the class in the most company, later ones are drawn by hash.
+    The hub of a list is in the first round the class in the most company, later it is drawn by hash.
     """
     rank = F.struct(-F.col("company"), "id") if seed == 0 else F.struct(F.xxhash64("id", F.lit(seed)), "id")
     first = F.min_by(F.struct("id", "n", "comp"), rank).alias("hub")
     hubs = posts.groupBy("token").agg(first, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    met = posts.join(hubs, "token").filter(F.col("comp") != F.col("hub.comp"))
-    return met.filter(similar_sizes(F.col("n"), F.col("hub.n"))).select(
-        F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    met = posts.join(hubs, "token").filter((F.col("comp") != F.col("hub.comp")) & similar_sizes(F.col("n"), F.col("hub.n")))
+    likeliest = met.groupBy("id").agg(F.mode("hub.id", True).alias("hub"))  # COORDINATES hubs at most
+    return likeliest.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def sketches(texts: DataFrame, size: int) -> DataFrame:
@@ -214,10 +214,12 @@ def sketches(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def all_pairs(posts: DataFrame, drawn: DataFrame) -> DataFrame:
+def all_pairs(posts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b), a < b: classes of one list that are still in different components and have similar sketches."""
     split = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    p = materialise(posts.join(split, "token").join(drawn, "id"), "split")
+    open_ = materialise(posts.join(split, "token"), "split")
+    drawn = materialise(sketches(texts.join(open_.select("id").distinct(), "id").select("id", "text"), size), "sketches")
+    p = open_.join(drawn, "id")
     names = [c for c in drawn.columns if c != "id"]
     q = p.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"),
                  *[F.col(c).alias(f"o{c}") for c in names])
@@ -302,7 +304,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labelled = posts.join(found, posts["id"] == found["node"], "left").select(
                 "id", "n", "token", "company", F.coalesce("root", "id").alias("comp"))
         labelled = materialise(labelled, "labelled")
-        pairs = hub_pairs(labelled, turn) if turn < ROUNDS else all_pairs(labelled, sketches(texts, size))
+        pairs = hub_pairs(labelled, turn) if turn < ROUNDS else all_pairs(labelled, texts, size)
         new = materialise(confirmed(materialise(agreeing(pairs, classes), "agreeing"), texts, size), "links")
         links = new if links is None else links.unionByName(new)
         found = materialise(C.components(links), "components")
