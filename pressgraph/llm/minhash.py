@@ -15,11 +15,14 @@ pair, so they are dropped before anything is ordered, and classes with fewer
 than AGREE shared lists have no partner at all.
 
 Candidates that agree often enough are confirmed on the full sets.  Where whole
-lists are compared, a sketch of one bit for each of BITS further coordinates
-goes with each class: two bits agree with probability (1 + similarity) / 2, so
-pairs that differ in more than DIFFER bits are left out of the join itself, with
-a chance below one in a million to miss a link.  Pairs
-within a long list are not all compared: each list has a hub in each of ROUNDS
+lists are compared, two sketches of BITS bits go with each class, so that pairs
+too far apart are left out of the join itself.  The parity sketch adds up, modulo
+two, one bit for each shingle: sets differ in at least as many shingles as their
+sketches do in bits, which loses no link and decides nearly all pairs of short
+texts.  For long texts, whose parities are random, the second sketch has one bit of
+each of BITS further minima: two bits agree with probability (1 + similarity) / 2,
+and pairs that differ in more than DIFFER bits are left out, with a chance below
+one in a million to miss a link.  Pairs within a long list are not all compared: each list has a hub in each of ROUNDS
 rounds, every class is compared with the hub that it meets in most of its lists,
 and classes that are linked become one component.  A last round then compares, in each list, the
 classes that still belong to different components, all of them, so no link
@@ -129,6 +132,13 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
         return np.packbits((mix(least) >> np.uint64(63)).astype(bool)).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit numbers: whether an odd number of shingles falls on each."""
+    with np.errstate(over="ignore"):
+        at = (mix(shingles + _BASE) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=BITS) % 2 == 1).view(np.int64)
+
+
 def _side_by_side(texts: list[bytes]):
     first, held = 0, 0
     for i, t in enumerate(texts):
@@ -200,14 +210,14 @@ def hub_pairs(posts: DataFrame, seed: int) -> DataFrame:
 
 
 def sketches(texts: DataFrame, size: int) -> DataFrame:
-    """(id, w0, w1, ...): the sketch of each class in ``texts``."""
-    names = [f"w{i}" for i in range(BITS // 64)]
+    """(id, p0, p1, ..., w0, w1, ...): the parities and the sketch of each class in ``texts``."""
+    names = [f"{kind}{i}" for kind in "pw" for i in range(BITS // 64)]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             packed = [unpack(t) for t in batch.column(1).to_pylist()]
-            words = [sketch(s) for i, j in _side_by_side(packed) for s in shingle_sets(packed[i:j], size)]
+            words = [np.concatenate([parities(s), sketch(s)]) for i, j in _side_by_side(packed) for s in shingle_sets(packed[i:j], size)]
             table = np.array(words, np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, i]) for i in range(len(names)))], ["id", *names])
 
@@ -215,7 +225,7 @@ def sketches(texts: DataFrame, size: int) -> DataFrame:
 
 
 def all_pairs(posts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b), a < b: classes of one list that are still in different components and have similar sketches."""
+    """(a, b), a < b: classes of one list that are still in different components and whose sketches let them be similar."""
     split = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     open_ = materialise(posts.join(split, "token"), "split")
     drawn = materialise(sketches(texts.join(open_.select("id").distinct(), "id").select("id", "text"), size), "sketches")
@@ -223,8 +233,13 @@ def all_pairs(posts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     names = [c for c in drawn.columns if c != "id"]
     q = p.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"),
                  *[F.col(c).alias(f"o{c}") for c in names])
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in names))
-    near = similar_sizes(F.col("n"), F.col("m")) & (differ <= DIFFER)
+
+    def differ(kind: str):
+        return reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in names if c.startswith(kind)))
+
+    part, whole = SIMILARITY
+    near = similar_sizes(F.col("n"), F.col("m")) & (
+        (whole + part) * differ("p") <= (whole - part) * (F.col("n") + F.col("m"))) & (differ("w") <= DIFFER)
     return p.join(q, "token").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("other")) & near).select(
         F.col("id").alias("a"), "b").distinct()
 
