@@ -2,10 +2,12 @@
 
 import gzip
 
+import numpy as np
 import pytest
 
 from pressgraph.llm import chat, common, decontaminate, exact, langid, minhash, mixing, repeats, tokens, toxicity, warc
 from pressgraph.llm import queries as Q
+from tests.llm.test_queries import near_by_force
 
 LONG = " ".join(f"word{i % 977} and{i}" for i in range(40_000))
 TEXTS = [
@@ -59,6 +61,29 @@ def test_near(docs, none):
     assert minhash.near_duplicates(none).count() == minhash.deduplicate(none).count() == 0
 
 
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        y = np.concatenate([x[size // 5 :], rng.integers(0, 1 << 63, size // 7, np.uint64)])
+        bits = sum(int(b).bit_count() for b in (minhash.parities(x) ^ minhash.parities(y)).view(np.uint64))
+        assert bits <= len(np.setxor1d(x, y)) and not (minhash.parities(x) ^ minhash.parities(x[::-1])).any()
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_near_copies_of_one_text_lose_no_link(spark, monkeypatch, rounds):
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{i}" for i in range(40)], []
+    for i in range(90):
+        words = list(base)
+        for at in rng.integers(0, 40, i % 6):
+            words[at] = f"x{rng.integers(0, 3)}"
+        texts.append((i, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), size=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_by_force(texts, 2)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
