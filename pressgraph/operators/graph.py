@@ -17,13 +17,27 @@ from pressgraph import constants as K
 from pressgraph.functions import urls as U
 
 
+def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One whole row of each key, the greatest by its other columns (maps do not count).
+
+    Grouped on the key of the join that follows, so both share one shuffle.
+    """
+    rest = [c for c in df.columns if c not in key]
+    rank = [c for c, kind in df.dtypes if c in rest and "map<" not in kind]
+    if not rank:
+        return df.dropDuplicates(list(key))
+    best = F.max_by(F.struct(*rest), F.struct(*rank)).alias("_row")
+    return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def overlay(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old: Sequence[str] = ()) -> DataFrame:
     """Full outer merge on ``key``: new non-null values win.
 
     Columns in ``keep_old`` keep the stored value when the row exists already.
-    One shuffle per side, on the key.
+    Of new rows with one key, one counts.  One shuffle per side, on the key.
     """
     key = list(key)
+    new = one_per_key(new, key)
     columns = list(old.columns) + [c for c in new.columns if c not in old.columns]
     o = old.select(*key, F.struct(*[c for c in old.columns if c not in key]).alias("_old"))
     n = new.select(*key, F.struct(*[c for c in new.columns if c not in key]).alias("_new"))
@@ -53,7 +67,9 @@ def merge_articles(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert_text(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Insert by id; on conflict only ``html`` and ``text`` change, and they
-    take the incoming value even when it is NULL."""
+    take the incoming value even when it is NULL.  Of incoming rows with one
+    id, one counts."""
+    incoming = one_per_key(incoming.select("id", "url", "raw_html", "text", "html"), ["id"])
     s = stored.select("id", F.struct("url", "raw_html", "text", "html").alias("_s"))
     i = incoming.select("id", F.struct("url", "raw_html", "text", "html").alias("_i"))
     joined = s.join(i, "id", "full_outer")

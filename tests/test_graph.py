@@ -21,6 +21,19 @@ def test_upsert_is_idempotent(spark):
     assert S.find_text(once, id=2).count() == 1 and S.find_text(once).count() == 0
 
 
+def test_merges_keep_one_row_of_a_repeated_key(spark):
+    schema = "url string, domain string, title string"
+    old = spark.createDataFrame([("u", "d", "old")], schema)
+    new = spark.createDataFrame([("u", None, "a"), ("u", None, "b"), ("v", "e", None), ("v", "e", None)], schema)
+    once = G.merge_articles(old, new)
+    assert sorted(map(tuple, once.collect())) == [("u", "d", "b"), ("v", "e", None)]
+    assert sorted(map(tuple, G.merge_articles(once, new).collect())) == sorted(map(tuple, once.collect()))
+    texts = "id long, url string, text string, html string, raw_html string"
+    rows = spark.createDataFrame([(1, "u", "a", "h", "r"), (1, "u", "b", "h", "r")], texts)
+    first = G.upsert_text(spark.createDataFrame([], texts), rows)
+    assert [tuple(r) for r in G.upsert_text(first, rows).collect()] == [(1, "u", "b", "h", "r")]
+
+
 def test_stubs_have_no_domain_edge_by_default(spark):
     arts = spark.createDataFrame([("http://a/1", "a")], "url string, domain string")
     cites = spark.createDataFrame([], "src_url string, dst_url string, text string")
