@@ -174,7 +174,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(id, n, token, company): the shortest shared lists of each class; a token is a coordinate with its value.
+    """(id, n, tokens, company): the shortest shared lists of each class; a token is a coordinate with its value.
 
     ``company`` is the length of all shared lists of the class: the more, the nearer it is to the middle of its group.
     """
@@ -191,8 +191,7 @@ def postings(classes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("size", "token"))).alias("lists"))  # COORDINATES at most
     prefix = F.slice("lists", 1, F.size("lists") - AGREE + 1)
     company = F.aggregate("lists.size", F.lit(0).cast("long"), lambda x, y: x + y)
-    chosen = shared.filter(F.size("lists") >= AGREE).select(
-        "id", company.alias("company"), F.explode(prefix["token"]).alias("token"))
+    chosen = shared.filter(F.size("lists") >= AGREE).select("id", company.alias("company"), prefix["token"].alias("tokens"))
     return chosen.join(classes.select("id", "n"), "id")
 
 
@@ -225,23 +224,33 @@ def sketches(texts: DataFrame, size: int) -> DataFrame:
 
 
 def all_pairs(posts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b), a < b: classes of one list that are still in different components and whose sketches let them be similar."""
+    """(a, b), a < b: classes of one list that are still in different components and whose sketches let them be similar.
+
+    A pair leaves the join at the least token that both share and no other: each posting has 32-bit hashes of its class's
+    lesser tokens.  Hashes of different tokens are equal by chance for fewer than one pair in a million.
+    """
     split = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    open_ = materialise(posts.join(split, "token"), "split")
+    open_ = materialise(posts.join(split, "token").select("token", "id", "n", "comp"), "split")
     drawn = materialise(sketches(texts.join(open_.select("id").distinct(), "id").select("id", "text"), size), "sketches")
-    p = open_.join(drawn, "id")
     names = [c for c in drawn.columns if c != "id"]
-    q = p.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"),
-                 *[F.col(c).alias(f"o{c}") for c in names])
+    hashed = F.struct("token", F.hash("token").alias("hash"))
+    tokens = open_.groupBy("id").agg(
+        F.min("n").alias("n"), F.min("comp").alias("comp"), F.sort_array(F.collect_list(hashed)).alias("tokens"))  # COORDINATES at most
+    met = tokens.join(drawn, "id").select("id", "n", "comp", *names, "tokens", F.posexplode("tokens").alias("at", "one"))
+    lesser = F.slice(F.col("tokens.hash"), F.lit(1), F.col("at"))
+    p = met.select("one.token", "id", "n", "comp", lesser.alias("lesser"), *names)
+    x, y = p.alias("x"), p.alias("y")
 
     def differ(kind: str):
-        return reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in names if c.startswith(kind)))
+        return reduce(lambda s, t: s + t, (
+            F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in names if c.startswith(kind)))
 
-    part, whole = SIMILARITY
-    near = similar_sizes(F.col("n"), F.col("m")) & (
-        (whole + part) * differ("p") <= (whole - part) * (F.col("n") + F.col("m"))) & (differ("w") <= DIFFER)
-    return p.join(q, "token").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("other")) & near).select(
-        F.col("id").alias("a"), "b").distinct()
+    n, m, (part, whole) = F.col("x.n"), F.col("y.n"), SIMILARITY
+    near = similar_sizes(n, m) & ((whole + part) * differ("p") <= (whole - part) * (n + m)) & (differ("w") <= DIFFER)
+    first = ~F.arrays_overlap("x.lesser", "y.lesser")
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & apart & near & first).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def similar_sizes(n, m, similarity: tuple[int, int] = SIMILARITY):
@@ -311,14 +320,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "n", "rep.doc_id", "rep.k", "sig"), "classes")
     posts = materialise(postings(classes), "postings")
     texts = materialise(packed_texts(
-        df, classes.join(posts.select("id").distinct(), "id").select("id", "doc_id", "k"), id_col, text_col), "texts")
+        df, classes.join(posts.select("id"), "id").select("id", "doc_id", "k"), id_col, text_col), "texts")
     links = found = None
     for turn in range(ROUNDS + 1):
-        labelled = posts.withColumn("comp", F.col("id"))
+        comp, labelled = F.col("id"), posts
         if found is not None:
-            labelled = posts.join(found, posts["id"] == found["node"], "left").select(
-                "id", "n", "token", "company", F.coalesce("root", "id").alias("comp"))
-        labelled = materialise(labelled, "labelled")
+            comp, labelled = F.coalesce("root", "id"), posts.join(found, posts["id"] == found["node"], "left")
+        labelled = materialise(labelled.select(
+            "id", "n", "company", comp.alias("comp"), F.explode("tokens").alias("token")), "labelled")
         pairs = hub_pairs(labelled, turn) if turn < ROUNDS else all_pairs(labelled, texts, size)
         new = materialise(confirmed(materialise(agreeing(pairs, classes), "agreeing"), texts, size), "links")
         links = new if links is None else links.unionByName(new)
