@@ -43,10 +43,6 @@ CATEGORY_BAD_WORDS = [
     "developer", "proxy",
 ]
 MOBILE_SUBDOMAINS = ["m", "i"]
-MAX_FEEDS_PER_SOURCE = 50
-MAX_CANDIDATES_PER_SOURCE = 5000
-MAX_ARTICLES_PER_RUN = 100
-MAX_MEMO_URLS = 20000
 MAX_CRAWL_DEPTH = 2
 CATEGORY_CACHE_SECONDS = 86400
 POLL_SECONDS = 1800
@@ -162,7 +158,6 @@ linkfinance.fr^offerHeader
 """
 IMAGE_MIN_BYTES = 4000
 IMAGE_MAX_BYTES = 15728640
-IMAGE_CANDIDATES = 30
 IMAGE_MIN_WIDTH = 50
 IMAGE_OUTER_MIN_WIDTH = 300
 IMAGE_BASE_FACTOR = 1.48

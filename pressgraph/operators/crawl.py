@@ -1,8 +1,9 @@
 """Site discovery and the crawl frontier as set operations.
 
-Per-source limits use ``row_number() <= k``: Spark keeps the best k rows of
-every task before it shuffles, so a source that holds a third of all links
-still sends at most k rows per task to its window.
+Nothing is limited unless a caller asks for a limit per source.  A limit is
+``row_number() <= k``: Spark keeps the best k rows of every task before it
+shuffles, so a source that holds a third of all links still sends at most k
+rows per task to its window.
 """
 
 from __future__ import annotations
@@ -84,8 +85,16 @@ def category_urls(source_pages: DataFrame) -> DataFrame:
         "source_url", U.prepare_url(trimmed, "source_url").alias("url")).distinct()
 
 
-def feed_urls(category_pages: DataFrame) -> DataFrame:
-    """``(source_url, url)`` of feeds named by category pages, first 50 per site.
+def first_per_source(d: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first ``limit`` rows of each source in that order; None keeps all."""
+    if limit is None:
+        return d
+    w = W.partitionBy("source_url").orderBy(*order)
+    return d.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).drop("n")
+
+
+def feed_urls(category_pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(source_url, url)`` of feeds named by category pages.
 
     Needs ``source_url, url, html``.
     """
@@ -95,9 +104,7 @@ def feed_urls(category_pages: DataFrame) -> DataFrame:
     hrefs = tags.select(
         "source_url", "page", "pos", H.attribute(H.open_tag("e"), "href").alias("href")).filter(
         F.col("href") != "")
-    w = W.partitionBy("source_url").orderBy("page", "pos")
-    first = hrefs.withColumn("n", F.row_number().over(w)).filter(
-        F.col("n") <= K.MAX_FEEDS_PER_SOURCE)
+    first = first_per_source(hrefs, limit, "page", "pos")
     return first.select("source_url", U.prepare_url("href", "source_url").alias("url")).distinct()
 
 
@@ -133,35 +140,33 @@ def fresh_articles(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return unique.join(seen.select("domain", "url"), ["domain", "url"], "left_anti")
 
 
-def updated_memo(candidates: DataFrame, seen: DataFrame, limit: int = K.MAX_MEMO_URLS) -> DataFrame:
-    """Memo after a run; a domain whose memo has outgrown the limit starts empty."""
+def updated_memo(candidates: DataFrame, seen: DataFrame, limit: int | None = None) -> DataFrame:
+    """Memo after a run; with a limit, a domain whose memo has outgrown it starts empty."""
+    both = seen.select("domain", "url").unionByName(candidates.select("domain", "url")).distinct()
+    if limit is None:
+        return both
     full = seen.groupBy("domain").agg(F.count_distinct("url").alias("n")).filter(
         F.col("n") > limit).select("domain")
     touched = candidates.select("domain").distinct()
     overflow = full.join(touched, "domain", "left_semi")
-    both = seen.select("domain", "url").unionByName(candidates.select("domain", "url")).distinct()
     # Overflowing domains hold > limit URLs each, so they are few by definition;
     # the planner decides how to join them.
     return both.join(overflow, "domain", "left_anti")
 
 
 def merge_candidates(feed: DataFrame, category: DataFrame,
-                     limit: int = K.MAX_CANDIDATES_PER_SOURCE) -> DataFrame:
-    """Union of both origins, one row per URL (category wins), limited per site."""
+                     limit: int | None = None) -> DataFrame:
+    """Union of both origins, one row per URL (category wins)."""
     both = feed.withColumn("origin", F.lit(0)).unionByName(category.withColumn("origin", F.lit(1)))
     unique = both.groupBy("source_url", "url").agg(
         F.max("origin").alias("origin"), F.max_by("title", "origin").alias("title"))
-    w = W.partitionBy("source_url").orderBy("url")
-    kept = unique.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)
-    return kept.select("source_url", "url", "title",
-                       F.when(F.col("origin") == 1, "category").otherwise("feed").alias("origin"))
+    return first_per_source(unique, limit, "url").select(
+        "source_url", "url", "title", F.when(F.col("origin") == 1, "category").otherwise("feed").alias("origin"))
 
 
-def run_batch(candidates: DataFrame, limit: int = K.MAX_ARTICLES_PER_RUN) -> DataFrame:
-    """In-site articles of one ingest round, at most ``limit`` per site."""
-    w = W.partitionBy("source_url").orderBy("url")
-    inside = candidates.filter(U.is_in_site("url", "source_url"))
-    return inside.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).drop("n")
+def run_batch(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """In-site articles of one ingest round."""
+    return first_per_source(candidates.filter(U.is_in_site("url", "source_url")), limit, "url")
 
 
 def split_unreadable(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,12 +192,11 @@ def stage_counts(links: DataFrame, seen: DataFrame, by: str = "source_url") -> D
 
 def source_summary(categories: DataFrame, feeds: DataFrame, articles: DataFrame,
                    profiles: DataFrame) -> DataFrame:
-    """Counts per site with its brand and the start of its description."""
+    """Counts per site with its brand and its description."""
     c = categories.groupBy("source_url").agg(F.count_distinct("url").alias("n_categories"))
     f = feeds.groupBy("source_url").agg(F.count_distinct("url").alias("n_feeds"))
     a = articles.groupBy("source_url").agg(F.count_distinct("url").alias("n_articles"))
-    p = profiles.select(F.col("url").alias("source_url"), "brand",
-                        F.left("description", F.lit(50)).alias("description"))
+    p = profiles.select(F.col("url").alias("source_url"), "brand", "description")
     zero = F.lit(0).cast("long")
     return (
         p.join(c, "source_url", "left").join(f, "source_url", "left").join(a, "source_url", "left")
@@ -201,7 +205,7 @@ def source_summary(categories: DataFrame, feeds: DataFrame, articles: DataFrame,
     )
 
 
-def sample_articles(articles: DataFrame, k: int = 10) -> DataFrame:
+def sample_articles(articles: DataFrame, k: int) -> DataFrame:
     """First ``k`` articles of each site, for a summary report."""
     w = W.partitionBy("source_url").orderBy("url")
     return articles.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)

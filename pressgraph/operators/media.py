@@ -126,26 +126,25 @@ def image_area(src: Column | str, width: Column | str, height: Column | str) ->
 
 # --- relations -----------------------------------------------------------------
 
-def image_candidates(page_images: DataFrame, images: DataFrame) -> DataFrame:
-    """Images of a node with good names and sizes, first 30 per node.
+def image_candidates(page_images: DataFrame, images: DataFrame, limit: int | None = None) -> DataFrame:
+    """Images of a node with good names and sizes, with a limit the first of each node.
 
-    ``page_images``: page_id, level, parent_depth, ord, src.  The per-node
-    limit runs as a windowed top-k before the size table is joined.
+    ``page_images``: page_id, level, parent_depth, ord, src.
     """
+    sized = page_images.filter(~is_bad_image_name("src")).join(images, "src").filter(good_bytes("bytes"))
+    if limit is None:
+        return sized
     w = W.partitionBy("page_id", "level").orderBy("ord")
-    named = page_images.filter(~is_bad_image_name("src"))
-    first = named.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= K.IMAGE_CANDIDATES + 1)
-    sized = first.join(images, "src").filter(good_bytes("bytes"))
-    return sized.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= K.IMAGE_CANDIDATES)
+    return sized.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).drop("n")
 
 
-def rank_images(page_images: DataFrame, images: DataFrame) -> DataFrame:
+def rank_images(page_images: DataFrame, images: DataFrame, limit: int | None = None) -> DataFrame:
     """Best image per page: ``src, width, height, score, confidence, level``.
 
     Images are scored in page order against the first accepted one.  Levels
     are searched outwards: the first level that accepts an image decides.
     """
-    d = image_candidates(page_images, images)
+    d = image_candidates(page_images, images, limit)
     wide = (F.col("parent_depth") < 1) | (F.col("width") > K.IMAGE_OUTER_MIN_WIDTH)
     d = d.filter(wide & ~is_banner("width", "height") & (F.col("width") > K.IMAGE_MIN_WIDTH))
     node = W.partitionBy("page_id", "level")
@@ -193,7 +192,7 @@ def known_images(pages: DataFrame, site_classes: DataFrame) -> DataFrame:
     sites = site_classes.groupBy("domain").agg(
         F.array_join(F.array_sort(F.collect_set("css")), "|").alias("_css"))
     d = pages.withColumn("_site", F.replace(U.host("url"), F.lit("www."), F.lit("")))
-    d = d.join(F.broadcast(sites).withColumnRenamed("domain", "_site"), "_site", "left")
+    d = d.join(sites.withColumnRenamed("domain", "_site"), "_site", "left")
     general = "|".join(K.KNOWN_IMAGE_NAMES)
     pattern = F.when(F.col("_css").isNull(), F.lit(f"(?i)({general})")).otherwise(
         F.concat(F.lit(f"(?i)({general}|"), F.col("_css"), F.lit(")")))

@@ -12,17 +12,13 @@ from pressgraph import constants as K
 
 @dataclass(frozen=True)
 class JobOptions:
-    language: str = "en"
-    use_page_language: bool = True
-    lenient: bool = False
     memoize: bool = True
-    fetch_images: bool = True
-    keep_article_html: bool = False
     stub_domains: bool = False
     max_depth: int = K.MAX_CRAWL_DEPTH
-    max_articles_per_run: int = K.MAX_ARTICLES_PER_RUN
-    max_candidates: int = K.MAX_CANDIDATES_PER_SOURCE
-    max_memo: int = K.MAX_MEMO_URLS
+    #: Limits per site of a site build; None sets none.
+    max_feeds: int | None = None
+    max_candidates: int | None = None
+    max_memo: int | None = None
     extra_columns: tuple[Callable[[DataFrame], DataFrame], ...] = ()
 
 

@@ -63,15 +63,12 @@ def section_pages(spark, sf_dir):
 
 
 _SECTION = I.PRESS_SQL + """,
-sec AS (SELECT page_id, 'http://www.' || source || '.example.com' AS source_url, headline, source FROM press)
+sec AS (SELECT page_id, 'http://www.' || source || '.example.com' AS source_url, headline, source, lang FROM press)
 """
 
 
-@register("feed_urls", f"""WITH {_SECTION},
-r AS (SELECT source_url, page_id, row_number() OVER (PARTITION BY source_url
-        ORDER BY source_url || '/p/' || page_id) AS n FROM sec)
-SELECT source_url, source_url || '/feeds/' || page_id || '.xml' AS url FROM r
-WHERE n <= {K.MAX_FEEDS_PER_SOURCE}""")
+@register("feed_urls", f"""WITH {_SECTION}
+SELECT source_url, source_url || '/feeds/' || page_id || '.xml' AS url FROM sec""")
 def feed_urls(spark, sf_dir):
     return C.feed_urls(section_pages(spark, sf_dir))
 
@@ -91,18 +88,15 @@ def feed_candidates(spark, sf_dir):
 
 @register("merged_candidates", f"""WITH {_SECTION},
 u AS (SELECT source_url, source_url || '/2024/03/' || page_id AS url, headline AS title, 'category' AS origin FROM sec
-  UNION ALL SELECT source_url, source_url || '/news/' || page_id || '.html', NULL, 'feed' FROM sec),
-r AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY url) AS n FROM u)
-SELECT source_url, url, title, origin FROM r WHERE n <= {K.MAX_CANDIDATES_PER_SOURCE}""")
+  UNION ALL SELECT source_url, source_url || '/news/' || page_id || '.html', NULL, 'feed' FROM sec)
+SELECT source_url, url, title, origin FROM u""")
 def merged_candidates(spark, sf_dir):
     pages = section_pages(spark, sf_dir)
     return C.merge_candidates(C.feed_candidates(pages), C.category_candidates(pages))
 
 
-@register("run_batch", f"""WITH {_SECTION},
-r AS (SELECT source_url, source_url || '/2024/03/' || page_id AS url, headline AS title,
-        row_number() OVER (PARTITION BY source_url ORDER BY source_url || '/2024/03/' || page_id) AS n FROM sec)
-SELECT source_url, url, title FROM r WHERE n <= {K.MAX_ARTICLES_PER_RUN}""")
+@register("run_batch", f"""WITH {_SECTION}
+SELECT source_url, source_url || '/2024/03/' || page_id AS url, headline AS title FROM sec""")
 def run_batch(spark, sf_dir):
     return C.run_batch(C.category_candidates(section_pages(spark, sf_dir)))
 
@@ -112,14 +106,13 @@ r AS (SELECT source_url, source_url || '/2024/03/' || page_id AS url,
         CAST(row_number() OVER (PARTITION BY source_url ORDER BY source_url || '/2024/03/' || page_id) AS INTEGER) AS n FROM sec)
 SELECT source_url, url, n FROM r WHERE n <= 10""")
 def sample_articles(spark, sf_dir):
-    return C.sample_articles(C.category_candidates(section_pages(spark, sf_dir))).select(
+    return C.sample_articles(C.category_candidates(section_pages(spark, sf_dir)), 10).select(
         "source_url", "url", "n")
 
 
 @register("source_summary", f"""WITH {_SECTION}
-SELECT source_url, 'example' AS brand, left('All of ' || source, 50) AS description,
-  count(*) AS n_categories, CAST(least(count(*), {K.MAX_FEEDS_PER_SOURCE}) AS BIGINT) AS n_feeds,
-  count(*) AS n_articles
+SELECT source_url, 'example' AS brand, 'All of ' || source AS description,
+  count(*) AS n_categories, count(*) AS n_feeds, count(*) AS n_articles
 FROM sec GROUP BY source_url, source""")
 def source_summary(spark, sf_dir):
     pages = section_pages(spark, sf_dir)
@@ -151,12 +144,10 @@ def memo_anti_join(spark, sf_dir):
     return C.fresh_articles(c, c.filter("fed")).select("domain", "url")
 
 
-@register("updated_memo", f"""WITH {_CANON},
-over AS (SELECT domain FROM c WHERE fed GROUP BY domain HAVING count(DISTINCT url) > 3)
-SELECT DISTINCT domain, url FROM c WHERE domain NOT IN (SELECT domain FROM over)""")
+@register("updated_memo", f"""WITH {_CANON} SELECT DISTINCT domain, url FROM c""")
 def updated_memo(spark, sf_dir):
     c = _canonical(spark, sf_dir)
-    return C.updated_memo(c, c.filter("fed"), limit=3)
+    return C.updated_memo(c, c.filter("fed"))
 
 
 @register("stage_counts", f"""WITH {_DOC_URL}
@@ -193,18 +184,23 @@ def category_cache(spark, sf_dir):
 
 
 @register("site_build", f"""WITH {_SECTION}
-SELECT source_url, source_url || '/2024/03/' || min(page_id) AS url, 'category' AS origin
-FROM sec GROUP BY source_url""")
+SELECT source_url, source_url || '/2024/03/' || page_id AS url, 'category' AS origin
+FROM sec WHERE lang IS DISTINCT FROM 'en'
+UNION ALL SELECT source_url, source_url || '/news/' || page_id || '.html', 'feed' FROM sec""")
 def site_build(spark, sf_dir):
-    """Whole build.  A front page is the first page of its site; its links are
-    new, as the memo holds the addresses of other sites."""
+    """Whole build: front pages name a section for each document, sections name feeds and articles.
+    The memo holds the articles of English pages."""
     pages = section_pages(spark, sf_dir)
-    fronts = pages.groupBy("source_url").agg(
-        F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html")).select(
-        "page_id", "source_url", F.col("source_url").alias("url"), "html")
-    seen = _canonical(spark, sf_dir).select("domain", "url")
-    feeds = pages.select(F.concat("source_url", F.lit("/none")).alias("url"), "rss")
-    built = SB.build_sites(fronts, pages, feeds, seen)
+    pid = F.col("page_id").cast("string")
+    fronts = pages.select(
+        "page_id", "source_url", F.concat("source_url", F.lit("/front/"), pid).alias("url"),
+        F.concat(F.lit('<html><body><a href="/c'), pid, F.lit('">Section</a></body></html>')).alias("html"))
+    stored = pages.select(F.concat("source_url", F.lit("/c"), pid).alias("url"), "html")
+    feeds = pages.select(F.concat("source_url", F.lit("/feeds/"), pid, F.lit(".xml")).alias("url"), "rss")
+    english = I.press_fields(spark, sf_dir).filter("lang = 'en'").select("page_id")
+    seen = pages.join(english, "page_id").select(
+        U.netloc("source_url").alias("domain"), F.concat("source_url", F.lit("/2024/03/"), pid).alias("url"))
+    built = SB.build_sites(fronts, stored, feeds, seen)
     return built.articles.select("source_url", "url", "origin")
 
 

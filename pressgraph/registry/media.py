@@ -6,6 +6,7 @@ image its size.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pressgraph.operators import media as V
@@ -25,9 +26,10 @@ def images(spark, sf_dir):
 
 def page_images(spark, sf_dir):
     li, part = I.table(spark, sf_dir, "lineitem"), I.table(spark, sf_dir, "part")
-    first = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
-    return first.join(part, F.col("k") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord"),
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    items = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), F.row_number().over(order).alias("ord"))
+    return items.join(part, F.col("k") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("page_id"), "ord",
         F.when(F.col("l_linenumber") <= 2, 0).when(F.col("l_linenumber") <= 4, 1).otherwise(2).alias("level"),
         F.when(F.col("l_linenumber") <= 4, 0).otherwise(1).alias("parent_depth"),
         F.concat(F.lit("http://img.example/"), F.replace("p_name", F.lit(" "), F.lit("-")),
@@ -38,13 +40,14 @@ _SQL = """
 img AS (SELECT p_partkey, 'http://img.example/' || replace(p_name, ' ', '-') || '/' || p_partkey || '.jpg' AS src,
    CAST(p_partkey % 500 * 40 AS BIGINT) AS bytes, CAST(p_size * 24 AS INTEGER) AS width,
    CAST(p_partkey % 37 * 20 + 15 AS INTEGER) AS height FROM part),
-fi AS (SELECT l_orderkey AS page_id, l_linenumber AS ord, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2),
-occ AS (SELECT page_id, ord, CASE WHEN ord <= 2 THEN 0 WHEN ord <= 4 THEN 1 ELSE 2 END AS level,
-   CASE WHEN ord <= 4 THEN 0 ELSE 1 END AS parent_depth, img.* FROM fi JOIN img ON k = p_partkey)
+fi AS (SELECT l_orderkey AS page_id, l_linenumber AS line, l_partkey AS k,
+   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS ord FROM lineitem),
+occ AS (SELECT page_id, ord, CASE WHEN line <= 2 THEN 0 WHEN line <= 4 THEN 1 ELSE 2 END AS level,
+   CASE WHEN line <= 4 THEN 0 ELSE 1 END AS parent_depth, img.* FROM fi JOIN img ON k = p_partkey)
 """
 
 
-@register("image_rank", f"""WITH {_SQL},
+_RANKED = """
 ok AS (SELECT *, greatest(width, height) // least(width, height) AS ratio FROM occ
   WHERE (bytes = 0 OR bytes > 4000) AND bytes < 15728640),
 nm AS (SELECT * FROM ok WHERE NOT regexp_matches(src, 'button|.gif|.ico|.html|adsatt')
@@ -53,6 +56,10 @@ k AS (SELECT *, row_number() OVER w AS k, first_value(width * height) OVER w AS
   count(*) OVER (PARTITION BY page_id, level) AS n FROM nm WINDOW w AS (PARTITION BY page_id, level ORDER BY ord)),
 s AS (SELECT *, CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / k * (CAST(width AS DOUBLE) * height / (CAST(fa AS DOUBLE) * 1.48::DOUBLE)) END AS score FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY level, score DESC, ord) AS r FROM s)
+"""
+
+
+@register("image_rank", f"""WITH {_SQL}, {_RANKED}
 SELECT page_id, level, src, width, height, round(score, 6) AS score, CAST(100 // n AS BIGINT) AS confidence FROM r WHERE r = 1""")
 def image_rank(spark, sf_dir):
     return V.rank_images(page_images(spark, sf_dir), images(spark, sf_dir)).withColumn(
@@ -80,30 +87,38 @@ def image_checks(spark, sf_dir):
 @register("top_images", f"""WITH {I.PRESS_SQL}, {_SQL},
 l AS (SELECT DISTINCT ON (page_id) page_id, src FROM occ
   WHERE width * height > 5000 AND width >= 90 AND greatest(width, height) // least(width, height) <= 16 / 9.0
-  ORDER BY page_id, width * height DESC, ord)
+  ORDER BY page_id, width * height DESC, ord),
+f AS (SELECT page_id, src FROM occ WHERE ord = 1
+  AND width * height > 5000 AND width >= 90 AND greatest(width, height) // least(width, height) <= 16 / 9.0)
 SELECT coalesce(p.page_id, l.page_id) AS page_id,
-  CASE WHEN p.page_id IS NOT NULL THEN 'http://www.' || p.source || '.example.com/img/' || p.page_id || '.jpg' ELSE l.src END AS src
-FROM press p FULL JOIN l ON p.page_id = l.page_id""")
+  CASE WHEN p.page_id IS NOT NULL THEN 'http://www.' || p.source || '.example.com/img/' || p.page_id || '.jpg'
+    ELSE coalesce(f.src, l.src) END AS src
+FROM press p FULL JOIN l ON p.page_id = l.page_id LEFT JOIN f ON l.page_id = f.page_id""")
 def top_images(spark, sf_dir):
     pages = M.with_head(I.press_pages(spark, sf_dir))
     metas = pages.select("page_id", V.meta_image_url().alias("src"))
     occ, sizes = page_images(spark, sf_dir), images(spark, sf_dir)
-    first = occ.filter("ord < 0").select("page_id", "src")
+    first = occ.filter("ord = 1").select("page_id", "src")
     return V.top_images(metas, first, V.largest_images(occ, sizes), sizes)
 
 
-@register("best_images", f"""WITH {I.PRESS_SQL}, {_SQL}
-SELECT page_id, 'http://www.' || source || '.example.com/img/' || page_id || '.jpg' AS src,
-  'opengraph' AS extraction_type, CAST(100 AS BIGINT) AS confidence FROM press""")
+_POSTS = "posts AS (SELECT conv_id || '-' || turn AS page_id, role FROM conversations)"
+
+
+@register("best_images", f"""WITH {I.PRESS_SQL}, {_SQL}, {_RANKED}, {_POSTS},
+big AS (SELECT CAST(page_id AS VARCHAR) AS page_id, src, CAST(100 // n AS BIGINT) AS confidence FROM r WHERE r = 1)
+SELECT page_id, 'http://posts.example/pic/' || page_id || '.jpg' AS src, 'known' AS extraction_type,
+  CAST(90 AS BIGINT) AS confidence FROM posts
+UNION ALL SELECT page_id, src, 'bigimage', confidence FROM big
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'http://www.' || source || '.example.com/img/' || page_id || '.jpg',
+  'opengraph', CAST(100 AS BIGINT) FROM press WHERE CAST(page_id AS VARCHAR) NOT IN (SELECT page_id FROM big)""")
 def best_images(spark, sf_dir):
-    pages = M.with_head(I.press_pages(spark, sf_dir))
-    known = V.known_images(pages, V.site_image_classes(spark))
-    large = V.rank_images(V.image_candidates(
-        pages.select("page_id", F.lit(0).alias("level"), F.lit(0).alias("parent_depth"),
-                     F.posexplode(V.image_urls()).alias("ord", "src")), images(spark, sf_dir)
-    ).drop("bytes", "width", "height", "n"), images(spark, sf_dir))
-    metas = pages.select("page_id", V.meta_images().alias("m")).filter("m is not null").select(
-        "page_id", "m.*")
+    """Posts have known containers, orders have large pictures, press pages name one in their metadata."""
+    name = F.col("page_id").cast("string").alias("page_id")
+    known = V.known_images(M.with_head(post_pages(spark, sf_dir)), V.site_image_classes(spark))
+    large = V.rank_images(page_images(spark, sf_dir), images(spark, sf_dir)).select(name, "src", "confidence")
+    metas = M.with_head(I.press_pages(spark, sf_dir)).select(name, V.meta_images().alias("m")).filter(
+        "m is not null").select("page_id", "m.*")
     return V.best_images(known, large, metas)
 
 
@@ -128,9 +143,6 @@ def post_pages(spark, sf_dir):
                  F.lit('</blockquote><img src="b/../c.png"></body></html>')).alias("html"))
 
 
-_POSTS = "posts AS (SELECT conv_id || '-' || turn AS page_id, role FROM conversations)"
-
-
 @register("post_tweets", f"""WITH {_POSTS}
 SELECT page_id, '<blockquote class="twitter-tweet">' || role || '</blockquote>' AS tweet FROM posts""")
 def post_tweets(spark, sf_dir):

@@ -173,16 +173,15 @@ def press_meta_tree(spark, sf_dir):
 
 
 @register("press_bylines", f"""WITH {I.PRESS_SQL}
-SELECT page_id, ['Bo Chan', 'Cy Dee'] AS authors,
+SELECT page_id, ['Ann Lee', 'Bo Chan', 'Cy Dee'] AS authors,
   CASE WHEN length(source) >= length(headline) THEN source ELSE trim(headline) END AS title,
   string_split(lang || ', ' || source, ', ') AS keyword_list,
   true AS dated
 FROM press""")
 def press_bylines(spark, sf_dir):
-    # 'Ann srcN Lee' holds three words and a digit word, so it is not a name.
     d = M.with_head(I.press_pages(spark, sf_dir))
     return d.select(
-        "page_id", F.filter(M.byline_authors(), lambda a: ~a.startswith("Ann")).alias("authors"),
+        "page_id", M.byline_authors().alias("authors"),
         M.split_title().alias("title"),
         M.keyword_list(M.meta_content("name", "keywords")).alias("keyword_list"),
         M.publish_ts().isNotNull().alias("dated"))

@@ -86,4 +86,4 @@ def test_videos(spark):
 
 
 def test_options_ignore_unknown_names():
-    assert extend(JobOptions(), lenient=True, nothing=1) == JobOptions(lenient=True)
+    assert extend(JobOptions(), memoize=False, nothing=1) == JobOptions(memoize=False)
