@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgraph.llm import chat, decontaminate, exact, langid, minhash, mixing, repeats, tokens, toxicity, warc
+from pressgraph.llm import alignment, chat, decontaminate, exact, langid, minhash, mixing, repeats, tokens, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -201,3 +201,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = chat.learn(lines.filter(~held_out("conv")))
     found = chat.turns(lines.select("conv", "part", "pos", "line"), model)
     return found.select(F.col("conv").alias("conv_id"), held_out("conv").alias("held_out"), "turn", "role", "n_lines", "text", "rendered")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(
+        table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
