@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgraph.llm import alignment, chat, decontaminate, exact, langid, minhash, mixing, repeats, tokens, toxicity, warc
+from pressgraph.llm import alignment, chat, decontaminate, exact, langid, minhash, mixing, quality, repeats, tokens, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -207,3 +207,78 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.token_alignment(
         table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def _escaped(low: int, high: int | None = None) -> str:
+    return f"\\x{{{low:X}}}" + (f"-\\x{{{high:X}}}" if high else "")
+
+
+#: Regular expressions of the character classes, by name.
+CLASS_SETS = {n: "".join(map(_escaped, c)) for n, c in quality.ASCII_CLASSES.items()} | {
+    n: _escaped(*r) for n, r in quality.RANGE_CLASSES.items()}
+
+
+def _divergence(p: str, q: str) -> str:
+    """Sum over bins of what one bin adds to the Jensen-Shannon divergence of shares p and q."""
+    def half(x):
+        return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+
+    return f"sqrt(greatest(0, sum({half(p)} + {half(q)}) / 2))"
+
+
+def _bound(least: float, bins: str, n: str) -> str:
+    return f"sqrt({least * least!r}::DOUBLE + {quality.NOISE!r}::DOUBLE * {bins} / (8 * {n} * ln(2)))"
+
+
+@query("op12_quality_rules", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '{WORD_CLASS}') AS w, regexp_extract_all({LOWER}, '{WORDS_OF}') AS terms
+           FROM documents),
+tri AS (SELECT r, p, w[p:p + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) > 2)),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (
+          SELECT r, unnest(range(p, p + 3)) AS q FROM tri JOIN (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1) USING (r, g))
+        GROUP BY r),
+dup AS (SELECT r, sum(n - 1) AS n FROM (
+          SELECT r, l, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+          WHERE regexp_matches(l, '{WORD_CLASS}') GROUP BY r, l)
+        GROUP BY r),
+base AS (SELECT r, doc_id, lang, len(terms) AS n_terms, length(t) AS n_chars, len(w) AS n_words,
+           length(regexp_replace(t, '{SPACE_CLASS}', '', 'g')) AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+           coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+         FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
+cls AS (SELECT r, lang, unnest({list(CLASS_SETS)!r}) AS c,
+               unnest([{", ".join(f"length(regexp_replace(t, '[^{x}]', '', 'g'))" for x in CLASS_SETS.values())}]) AS n FROM d),
+total AS (SELECT lang, sum(n_terms) AS total FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_terms) >= {quality.LEAST_REFERENCE}),
+ref_cls AS (SELECT lang, c, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cls JOIN total USING (lang) GROUP BY lang, c),
+term AS (SELECT r, lang, x, count(*) AS n FROM (SELECT r, lang, unnest(terms) AS x FROM d) GROUP BY r, lang, x),
+common AS (SELECT lang, x, n / total AS q FROM (SELECT lang, x, sum(n) AS n FROM term GROUP BY lang, x) JOIN total USING (lang)
+           WHERE n >= {quality.COMMON!r} * total),
+pair AS (SELECT r, total.lang AS ref, n_terms, n_chars FROM base JOIN total ON base.lang = total.lang
+         UNION ALL
+         SELECT r, total.lang, n_terms, n_chars FROM base, total
+         WHERE base.lang IS NULL OR base.lang NOT IN (SELECT lang FROM total)),
+by_char AS (SELECT r, ref, {_divergence("p", "q")} AS far FROM (
+              SELECT pair.r, ref, cls.n / n_chars::DOUBLE AS p, q
+              FROM pair JOIN cls ON cls.r = pair.r JOIN ref_cls ON ref_cls.lang = ref AND ref_cls.c = cls.c WHERE n_chars > 0)
+            GROUP BY r, ref),
+bins AS (SELECT pair.r, ref, n_terms, common.x, coalesce(term.n, 0) / n_terms::DOUBLE AS p, q
+         FROM pair JOIN common ON common.lang = ref LEFT JOIN term ON term.r = pair.r AND term.x = common.x WHERE n_terms > 0),
+by_word AS (SELECT r, ref, count(*) AS bins, {_divergence("p", "q")} AS far FROM (
+              SELECT r, ref, p, q FROM bins
+              UNION ALL
+              SELECT pair.r, pair.ref, 1 - coalesce(sum(p), 0), 1 - coalesce(sum(q), 0)
+              FROM pair LEFT JOIN bins ON bins.r = pair.r AND bins.ref = pair.ref WHERE pair.n_terms > 0 GROUP BY pair.r, pair.ref)
+            GROUP BY r, ref),
+verdict AS (SELECT r, bool_or(
+              (n_chars < {quality.LEAST_CHARS} OR by_char.far <= {_bound(quality.CHAR_DISTANCE, str(len(quality.CLASSES)), "n_chars")})
+              AND (n_terms < {quality.LEAST_WORDS} OR by_word.far <= {_bound(quality.WORD_DISTANCE, "bins", "n_terms")})) AS near
+            FROM pair LEFT JOIN by_char USING (r, ref) LEFT JOIN by_word USING (r, ref) GROUP BY r),
+judged AS (SELECT *, n_words < {quality.LEAST} OR 100 * n_repeat_words > {round(100 * quality.REPEATED)} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(near, true) AS kept
+FROM judged LEFT JOIN verdict USING (r)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.Base._fields, "kept")
