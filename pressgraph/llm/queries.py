@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgraph.llm import alignment, chat, decontaminate, exact, langid, minhash, mixing, quality, repeats, tokens, toxicity, warc
+from pressgraph.llm import alignment, chat, decontaminate, exact, langid, minhash, mixing, quality, ranked, repeats, tokens, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -282,3 +282,22 @@ FROM judged LEFT JOIN verdict USING (r)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality.Base._fields, "kept")
+
+
+@query("op11_ranked_search", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{WORDS_OF}') AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT i, item_id, x, count(*) AS times FROM (
+        SELECT i, item_id, unnest(regexp_extract_all({LOWER}, '{WORDS_OF}')) AS x
+        FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)) GROUP BY i, item_id, x),
+p AS (SELECT r, doc_id, n, x, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS x FROM d)
+      WHERE x IN (SELECT x FROM q) GROUP BY r, doc_id, n, x),
+t AS (SELECT x, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s GROUP BY x),
+scored AS (SELECT i, item_id, r, doc_id,
+             sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+           FROM q JOIN t USING (x) JOIN p USING (x), s GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
