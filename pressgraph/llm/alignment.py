@@ -56,6 +56,9 @@ KNOWN = 1_000_000
 #: Texts that ``str.split`` cuts into units: single spaces and line feeds, each before a character that is no space.
 _UNPLAIN = re.compile("[^\\S \\n]|[ \\n][ \\n]|[ \\n]\\Z|▁").search
 _CUTS = re.compile("(?<![ ▁]) (?=\\S)|\\n(?=\\S)").finditer
+_SPACES = re.compile("\\s\\s").search
+#: Units that one call of tokenizer A gets, if they can be joined.
+JOINED = 128
 _NONE = np.zeros(0, np.int64)
 
 
@@ -115,15 +118,14 @@ class Tools:
     def encode(self, keys: list[str]):
         """(ids of A, tokens of A a unit, ids of B, tokens of B a unit, which units are whole)."""
         whole = [k if k[:1] in (" ", "\n") else " " + k for k in keys]
-        a = [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]
+        ids_a, n_a = self._encode_a(whole)
         # A unit that begins with a line feed gets B's space like any other; it is not in the text.
         b = self.b.encode([w if w[0] == "\n" else w[1:] for w in whole], num_threads=1)
         b = [x[1:] if w[0] == "\n" else x for w, x in zip(whole, b, strict=True)]
-        ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a, b))
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(keys)) for x in (a, b))
+        ids_b, n_b = _flat(b)
         raw = "".join(whole).encode("utf-8", "surrogatepass")
         ok = np.ones(len(keys), bool)
-        for ids, n, table, sizes in ((ids_a, n_a, self.bytes_a, self.size_a), (ids_b, n_b, self.bytes_b, self.size_b)):
+        for ids, n, table in ((ids_a, n_a, self.bytes_a), (ids_b, n_b, self.bytes_b)):
             if b"".join(map(table.__getitem__, ids.tolist())) != raw:
                 ends = np.cumsum(n)
                 ok &= np.fromiter((
@@ -131,6 +133,22 @@ class Tools:
                     for w, m, z in zip(whole, n.tolist(), ends.tolist(), strict=True)), bool, len(keys))
         return ids_a, n_a, ids_b, n_b, ok
 
+    def _encode_a(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, tokens a unit).  Units side by side are one call, unless white space meets white space there."""
+        calls = []
+        for lo in range(0, len(whole), JOINED):
+            part = whole[lo : lo + JOINED]
+            joined = "".join(part)
+            calls += part if _SPACES(joined) else [joined]
+        ids, _ = _flat([e.ids for e in self.a.encode_batch(calls, add_special_tokens=False)])
+        sizes = np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in whole), np.int64, len(whole))
+        ends = np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum(sizes), "right")
+        return ids, np.diff(ends, prepend=0)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
 
 _TOOLS: dict[tuple[str, str], Tools] = {}
 
@@ -188,6 +206,18 @@ class Alignment(NamedTuple):
     text: str
 
 
+class _Places(dict):
+    """Numbers keys as they are first asked for and notes them as pending."""
+
+    def __init__(self, pending: list[str]):
+        self.pending = pending
+
+    def __missing__(self, key: str) -> int:
+        at = self[key] = len(self)
+        self.pending.append(key)
+        return at
+
+
 class Units:
     """The distinct units that a task has met, aligned; arrays are by unit."""
 
@@ -196,27 +226,19 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[str, int] = {}
         self.pending: list[str] = []
+        self.places = _Places(self.pending)
         self.held = 0
         self.ok = np.zeros(0, bool)
         self.sums = np.zeros((0, 6), np.int64)  # the counts, as they are returned
         self.missed, self.pairs, self.said = _NONE, _NONE, []
 
-    def index(self, keys: list[str]) -> list[int]:
-        places, out = self.places, []
-        for key in keys:
-            at = places.get(key)
-            if at is None:
-                at = places[key] = len(places)
-                self.pending.append(key)
-                self.held += len(key)
-            out.append(at)
-        return out
+    def index(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
 
     def read(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
         """(units of each text, whether it has tokens)."""
-        found = [np.array(self.index(self.tools.units(x)) if x else [], np.int64) for x in texts]
+        found = [self.index(self.tools.units(x)) if x else _NONE for x in texts]
         self.align()
         return found, [bool(len(x)) and bool(self.ok[x].all()) for x in found]
 
@@ -251,7 +273,8 @@ class Units:
             self.ok = np.concatenate([self.ok, ok])
             self.sums = np.concatenate([self.sums, sums])
             self.pairs = np.concatenate([self.pairs, pairs])
-        self.pending = []
+        self.held += sum(map(len, self.pending))
+        self.pending.clear()
 
     def full(self) -> bool:
         return len(self.places) > UNITS or self.held > UNIT_BYTES
@@ -500,7 +523,6 @@ def pair_counts(df: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 for row, chunk, s, e, lo, part in zip(*(columns[c].to_pylist() for c in _CHUNK), strict=True):
                     state, at, closed, ok = read_chunk(units, chunk, s, e, lo, part)
                     units.align()
-                    at = np.array(at, np.int64)
                     ok = ok and bool(units.ok[at].all())
                     times = _grown(times, len(units.places)) + np.bincount(at, minlength=len(units.places))
                     extra += [x.pairs for x in closed if x]
@@ -680,7 +702,7 @@ def _read_chunks(spread: DataFrame, paths: tuple[str, str], known) -> DataFrame:
             for row, chunk, s, e, lo, part in zip(*(columns[c].to_pylist() for c in _CHUNK), strict=True):
                 _, at, closed, _ = read_chunk(units, chunk, s, e, lo, part)
                 units.align()
-                at, out = np.array(at, np.int64), []
+                out = []
                 for place, x in enumerate(closed, 1):
                     if x is None:
                         sums, rest, said = _unit_sums(units, at), _missed(units, at), "".join([units.said[i] for i in at.tolist()])
