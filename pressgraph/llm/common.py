@@ -18,6 +18,18 @@ COUNTERS = 8192
 FREQUENT = 2048
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from being a column of ``df``."""
+    own = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in own:
+            name = "_" + name
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -78,7 +90,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def one_of_equal_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each group with equal ``keys`` (nulls equal), the least by all sortable columns."""
-    rank = "_rank_of_equal"
+    (rank,) = free_names(df, "_rank_of_equal")
     order = [F.col(c).asc_nulls_last() for c, kind in df.dtypes if c not in keys and not kind.startswith("map")]
     from pyspark.sql import Window
 

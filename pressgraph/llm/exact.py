@@ -57,16 +57,15 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one for each normalised text."""
+    own, keep, digest, n = C.free_names(df, "_own", "_keep", "_digest", "_rows")
     kept = (
         duplicate_groups(df, id_col, text_col).filter("kept")
-        .groupBy(F.col("doc_id").alias("_keep"), F.col("digest").alias("_digest"))
-        .agg(F.count("*").alias("_rows"))
+        .groupBy(F.col("doc_id").alias(keep), F.col("digest").alias(digest))
+        .agg(F.count("*").alias(n))
     )
-    keyed = df.withColumn(
-        "_own", F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)))
-    joined = keyed.join(
-        kept, keyed[id_col].eqNullSafe(kept["_keep"]) & (keyed["_own"] == kept["_digest"]))
-    single = joined.filter("_rows = 1").select(*[joined[c] for c in df.columns])
+    keyed = df.withColumn(own, F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)))
+    joined = keyed.join(kept, keyed[id_col].eqNullSafe(kept[keep]) & (keyed[own] == kept[digest]))
+    single = joined.filter(F.col(n) == 1).select(*[joined[c] for c in df.columns])
     repeated = C.one_of_equal_rows(
-        joined.filter("_rows > 1").select(*[joined[c] for c in df.columns], "_own"), [id_col, "_own"]).drop("_own")
+        joined.filter(F.col(n) > 1).select(*[joined[c] for c in df.columns], own), [id_col, own]).drop(own)
     return single.unionByName(repeated)

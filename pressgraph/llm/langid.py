@@ -10,12 +10,16 @@ scoring never learns.  A text gets the language whose trees code it shortest.
 
 Because the statistics are frozen, the trees are a finite automaton: a state is
 the longest known context, and a table holds next state and code lengths of all
-languages.  Texts are coded in segments, many side by side; a segment first
-reads the ORDER bytes before it, which fix its state, so cutting changes nothing.
+languages of a group.  Texts are coded in segments, many side by side; a segment
+first reads the ORDER bytes before it, which fix its state, so cutting changes
+nothing.
 
 Training reads a bounded sample (parameter): about CHUNKS pieces of CHUNK
-characters a language, drawn by hash from whole texts, of at most LANGUAGES
-languages (the most frequent).  Scoring reads every byte of every text.
+characters a language, drawn by hash from whole texts.  GROUP languages by name
+share an automaton of at most CELLS cells, so memory is bounded for each group
+and the contexts of a language do not depend on how many groups there are; a task
+codes its texts with one group after the other and holds one at a time.  Scoring
+reads every byte of every text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 null labels are not learned; null or repeated ids and other columns do not
@@ -37,9 +41,10 @@ from pressgraph.llm import common as C
 
 ORDER = 4
 CHUNK, CHUNKS = 2048, 256
-LANGUAGES = 256
-#: Cells of the automaton (states x symbols x languages) at most, and the least count of a context.
-CELLS, LEAST = 12_000_000, 6
+#: Languages of a group; cells of its automaton (states x symbols x languages) at most, and the least count of a context.
+GROUP, CELLS, LEAST = 8, 12_000_000, 6
+#: Contexts that training handles at once.
+ROWS = 2048
 #: Bytes that are coded side by side at once, and bytes of a segment.
 BLOCK, SEGMENT = 4_000_000, 256
 UNDETERMINED = "und"
@@ -63,19 +68,35 @@ def training_sample(df: DataFrame, label: Column, text_col: str, learn: Column,
     rows = df.select(label.alias("lang"), F.col(text_col).alias("text")).filter(
         learn & F.col("lang").isNotNull() & (F.length("text") > 0))
     n = F.ceil(F.length("text") / CHUNK).cast("int")
-    sizes = rows.groupBy("lang").agg(F.sum(n).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return []
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(chunks / r["n"])) for r in sizes], F.lit(0.0))
+    sizes = rows.groupBy("lang").agg(F.sum(n).alias("n")).select(F.col("lang").alias("of"), (F.lit(float(chunks)) / F.col("n")).alias("share"))
     drawn = F.filter(
         F.sequence(F.lit(0), n - 1),
-        lambda i: F.pmod(F.xxhash64("text", i), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)
-    cut = rows.select("lang", F.explode(F.transform(
+        lambda i: F.pmod(F.xxhash64("text", i), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.col("share"))
+    cut = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).select("lang", F.explode(F.transform(
         drawn, lambda i: F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK)))).alias("piece"))
     found = cut.select("lang", F.encode("piece", "utf-8").alias("piece")).toArrow()
     return sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
+def coded(seen: np.ndarray, shorter: np.ndarray | None, rare: int) -> np.ndarray:
+    """Code lengths of all symbols after some contexts, from counts and the code lengths after the next shorter contexts.
+
+    The last symbol stands for ``rare`` bytes, each of its probability.
+    """
+    total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+    back = np.ones((1, seen.shape[1])) if shorter is None else 2.0 ** -shorter.astype(np.float64)
+    mass = back.copy()
+    mass[:, -1] *= max(1, rare)
+    open_mass = np.where(seen > 0, 0.0, mass).sum(1, keepdims=True)
+    escape = np.where(open_mass > 1e-12, kinds / np.maximum(1, total + kinds), 0.0)
+    p = np.where(seen > 0, seen / np.maximum(1, total) * (1 - escape), escape * back / np.maximum(open_mass, 1e-12))
+    if shorter is not None:
+        p = np.where(total > 0, p, back)
+    elif not total.any():
+        p = back / open_mass
+    return -np.log2(np.maximum(p, 2.0**-40))
+
+
 def train(sample: list[tuple[str, bytes]], order: int = ORDER, cells: int = CELLS, least: int = LEAST) -> Trees | None:
     if not sample:
         return None
@@ -113,7 +134,7 @@ def train(sample: list[tuple[str, bytes]], order: int = ORDER, cells: int = CELL
         for o in range(d, 0, -1):
             k = keys[left] % width**o
             at = np.searchsorted(nodes[o], k)
-            hit = (at < len(nodes[o])) & (nodes[o][np.minimum(at, max(0, len(nodes[o]) - 1))] == k) if len(nodes[o]) else np.zeros(len(k), bool)
+            hit = nodes[o][np.minimum(at, len(nodes[o]) - 1)] == k if len(nodes[o]) else np.zeros(len(k), bool)
             out[left[hit]] = first[o] + at[hit]
             left = left[~hit]
         return out
@@ -122,37 +143,32 @@ def train(sample: list[tuple[str, bytes]], order: int = ORDER, cells: int = CELL
     bits = np.zeros((len(languages), states, width), np.float32)
     every = np.arange(width)
     for o, keys in enumerate(nodes):
-        longer = (keys[:, None] * width + every[None, :]).ravel()
-        step[first[o] : first[o + 1]] = place(longer, min(order, o + 1)).reshape(len(keys), width)
-        shorter = place(keys, o - 1) if o else None
-        for i, x in enumerate(texts):
-            k, n = np.unique(grams(x, o + 1), return_counts=True)
-            at = np.searchsorted(keys, k // width)
-            ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == k // width)
-            seen = np.zeros((len(keys), width))
-            seen[at[ok], k[ok] % width] = n[ok]
-            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            if o:
-                back = 2.0 ** -bits[i, shorter].astype(np.float64)
-                # The last symbol stands for `rare` bytes of that probability each.
-                mass = back.copy()
-                mass[:, -1] *= max(1, rare)
-            else:
-                back = np.full((1, width), 1.0)
-                mass = back.copy()
-                mass[:, -1] = max(1, rare)
-            open_mass = np.where(seen > 0, 0.0, mass).sum(1, keepdims=True)
-            escape = np.where(open_mass > 1e-12, kinds / np.maximum(1, total + kinds), 0.0)
-            p = np.where(seen > 0, seen / np.maximum(1, total) * (1 - escape), escape * back / np.maximum(open_mass, 1e-12))
-            if o:
-                p = np.where(total > 0, p, back)
-            elif not total.any():
-                p = back / open_mass
-            bits[i, first[o] : first[o + 1]] = -np.log2(np.maximum(p, 2.0**-40))
+        after = [np.unique(grams(x, o + 1), return_counts=True) for x in texts]
+        for lo in range(0, len(keys), ROWS):
+            some = keys[lo : lo + ROWS]
+            here = slice(first[o] + lo, first[o] + lo + len(some))
+            longer = (some[:, None] * width + every[None, :]).ravel()
+            step[here] = place(longer, min(order, o + 1)).reshape(len(some), width)
+            shorter = place(some, o - 1) if o else None
+            for i, (k, n) in enumerate(after):
+                a, z = np.searchsorted(k, [some[0] * width, (some[-1] + 1) * width])
+                k, n = k[a:z], n[a:z]
+                at = np.searchsorted(some, k // width)
+                ok = some[np.minimum(at, len(some) - 1)] == k // width
+                seen = np.zeros((len(some), width))
+                seen[at[ok], k[ok] % width] = n[ok]
+                bits[i, here] = coded(seen, None if shorter is None else bits[i, shorter], rare)
     start = int(step[0, symbol[10]])
     return Trees(languages, symbol.astype(np.uint8), step, np.ascontiguousarray(bits.transpose(1, 2, 0)).reshape(-1, len(languages)), start)
 
 
+def train_groups(sample: list[tuple[str, bytes]]) -> list[Trees]:
+    """The trees of each GROUP languages by name."""
+    languages = sorted({lang for lang, _ in sample})
+    groups = [set(languages[i : i + GROUP]) for i in range(0, len(languages), GROUP)]
+    return [train([x for x in sample if x[0] in group]) for group in groups]
+
+
 def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
     """Bits of each text in each language, coded segment by segment side by side."""
     out = np.zeros((len(texts), len(trees.languages)))
@@ -185,32 +201,42 @@ def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def result_names(df: DataFrame, prefix: str = "") -> list[str]:
+    """Names of lang_pred, score and bits_per_byte: after ``prefix``, and after underscores where ``df`` has such a column."""
+    return C.free_names(df, *(prefix + x for x in ("lang_pred", "score", "bits_per_byte")))
+
+
 def identify(df: DataFrame, lang_col: str = "lang", text_col: str = "text", learn: Column | None = None,
              prefix: str = "") -> DataFrame:
-    """All columns of ``df`` and lang_pred, score, bits_per_byte (their names after ``prefix``).
+    """All columns of ``df`` and lang_pred, score, bits_per_byte, named as ``result_names`` says.
 
     ``learn`` marks the rows whose labels may be learned (None: all).
     """
     spark = df.sparkSession
-    trees = train(training_sample(df, F.col(lang_col), text_col, F.lit(True) if learn is None else learn))
-    shared = spark.sparkContext.broadcast(trees)
-    names = [prefix + x for x in ("lang_pred", "score", "bits_per_byte")]
+    sample = training_sample(df, F.col(lang_col), text_col, F.lit(True) if learn is None else learn)
+    shared = [spark.sparkContext.broadcast(trees) for trees in train_groups(sample)]
+    names = result_names(df, prefix)
     fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())]
 
     def label(texts: list[bytes]) -> tuple[list, list, list]:
-        model = shared.value
-        bits = code_lengths(model, texts)
+        languages, found = [], []
+        for group in shared:
+            languages += group.value.languages
+            found.append(code_lengths(group.value, texts))
+            if len(shared) > 1:  # one automaton at a time; the next use reads the broadcast file again
+                vars(group).pop("_value", None)
+        bits = np.concatenate(found, 1)
         best = bits.argmin(1)
         size = np.maximum(1, [len(t) for t in texts])
         gap = (bits - bits.min(1, keepdims=True)) / np.sqrt(size)[:, None]
         score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)
-        return [model.languages[b] for b in best], score.tolist(), (bits.min(1) / size).tolist()
+        return [languages[b] for b in best], score.tolist(), (bits.min(1) / size).tolist()
 
     def score(batches):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()  # None: undetermined
             langs, scores, rates = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            if shared.value is not None:
+            if shared:
                 todo, held = [], 0
                 for i, t in enumerate([*texts, None]):
                     if t is not None:
@@ -224,7 +250,7 @@ def identify(df: DataFrame, lang_col: str = "lang", text_col: str = "text", lear
                 [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
                 [*batch.schema.names[:-1], *names])
 
-    work = "_bytes_to_code"
+    (work,) = C.free_names(df, "_bytes_to_code")
     readable = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     out = T.StructType([*df.schema.fields, *fields])
     return df.withColumn(work, F.when(readable, F.encode(F.col(text_col), "utf-8"))).mapInArrow(score, out)

@@ -311,8 +311,11 @@ def packed_texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
         F.first("text").alias("text"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, k, n_shingles, component_id, kept) for every row; k hashes the text."""
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(doc_id, k, n, comp, component_id) for every row: its group, null without words, and the least id of the group.
+
+    ``k`` hashes the text.  Ids may repeat, so ``comp`` and not ``component_id`` tells groups apart.
+    """
     rows = materialise(signatures(df, id_col, text_col, size), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("rep")
     classes = materialise(
@@ -335,31 +338,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = classes.join(found, classes["id"] == found["node"], "left").select(
         "s1", "s2", "n", F.coalesce("root", "id").alias("comp"), F.col("doc_id").alias("own"))
     smallest = member.groupBy("comp").agg(F.min("own").alias("component_id"))
-    of_class = member.join(smallest, "comp").select("s1", "s2", "n", "component_id")
+    of_class = member.join(smallest, "comp").select("s1", "s2", "n", "comp", "component_id")
     grouped = rows.filter("n > 0").drop("sig").join(of_class, ["s1", "s2", "n"])
-    alone = rows.filter("n = 0").drop("sig").withColumn("component_id", F.col("doc_id"))
-    return grouped.unionByName(alone).select(
+    alone = rows.filter("n = 0").drop("sig").withColumn("component_id", F.col("doc_id")).withColumn("comp", F.lit(None).cast("long"))
+    return grouped.unionByName(alone).select("doc_id", "k", "n", "comp", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(doc_id, k, n_shingles, component_id, kept) for every row; k hashes the text."""
+    return groups(df, id_col, text_col, size).select(
         "doc_id", "k", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns.
+    """One row of each group of near duplicates, with all its columns, and every row without words.
 
-    Rows with a null id have no id to be named by: of a group of such rows alone, one row for each text stays.
+    Of a group stays the row with the least id, nulls last; of rows with that id the one whose text has the least hash;
+    of equal texts the least row by its other columns.
     """
-    kept = near_duplicates(df, id_col, text_col, size).filter("kept").groupBy(
-        F.col("doc_id").alias("_keep"), F.col("k").alias("_keep_k")).agg(
-        F.count("*").alias("_rows"), F.first("component_id").alias("_group"), F.min("n_shingles").alias("_n"))
-    # Equal ids with different texts of one group: the text with the least hash stays.
-    best = kept.filter("_n > 0").groupBy("_keep", "_group").agg(F.min("_keep_k").alias("_best"), F.count("*").alias("_texts"))
-    crowded = best.filter("_texts > 1").select(F.col("_keep").alias("_crowded"), "_best")
-    marked = kept.join(crowded, F.col("_keep").eqNullSafe(F.col("_crowded")), "left").select(
-        "_keep", "_keep_k", "_rows", "_n", "_best").filter(
-        F.col("_best").isNull() | F.col("_keep").isNull() | (F.col("_n") == 0) | (F.col("_keep_k") == F.col("_best")))
-    keyed = df.withColumn("_own", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(marked, keyed[id_col].eqNullSafe(marked["_keep"]) & (keyed["_own"] == marked["_keep_k"]))
-    plain = joined.filter("_rows = 1 OR _n = 0").select(*[joined[c] for c in df.columns])
-    repeated = C.one_of_equal_rows(
-        joined.filter("_rows > 1 AND _n > 0").select(*[joined[c] for c in df.columns], "_own"), [id_col, "_own"]).drop("_own")
-    return plain.unionByName(repeated)
+    keep, k, words, own = C.free_names(df, "_keep", "_keep_k", "_words", "_own")
+    member = groups(df, id_col, text_col, size)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("rep")
+    first = member.filter("n > 0").groupBy("comp").agg(least).select(
+        F.col("rep.doc_id").alias(keep), F.col("rep.k").alias(k), F.lit(True).alias(words))
+    empty = member.filter("n = 0").select(F.col("doc_id").alias(keep), F.col("k").alias(k), F.lit(False).alias(words)).distinct()
+    stay = first.unionByName(empty)
+    keyed = df.withColumn(own, F.xxhash64(F.col(text_col)))
+    joined = keyed.join(stay, keyed[id_col].eqNullSafe(stay[keep]) & (keyed[own] == stay[k]))
+    repeated = C.one_of_equal_rows(joined.filter(F.col(words)).select(*[joined[c] for c in df.columns], own), [id_col, own]).drop(own)
+    return joined.filter(~F.col(words)).select(*[joined[c] for c in df.columns]).unionByName(repeated)

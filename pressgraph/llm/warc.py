@@ -108,9 +108,17 @@ def _split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block[: at + 4], block[at + 4 :]) if at >= 0 else (b"", block)
 
 
+def _said(line: bytes) -> str:
+    """A header line as text: UTF-8 as this module writes, else one character a byte."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def _http_key(head: bytes) -> str | None:
     found = re.search(rb"(?im)^" + KEY + rb":[ \t]*([^\r\n]*)", head)
-    return found[1].decode("latin-1") if found and found[1] != b"-" else None
+    return _said(found[1]) if found and found[1] != b"-" else None
 
 
 def _sha(data: bytes) -> str:
@@ -127,7 +135,7 @@ def parse_arc(stream):
         at, offset = offset, offset + len(line)
         if line in (b"\n", b"\r\n"):
             continue
-        field = line.rstrip(b"\r\n").decode("latin-1").split(" ")
+        field = _said(line.rstrip(b"\r\n")).split(" ")
         row = {"archive": name, "offset": at, "kind": "record", "url": field[0], "error": None, "head": b"", "payload": b""}
         try:
             size = int(field[-1])

@@ -23,7 +23,8 @@ def docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(TEXTS, "doc_id long, text string, lang string, source string")
-    for clash in ("k", "n", "digest", "keep_id", "size", "key", "score", "label", "row", "spans", "a", "b", "id", "taken"):
+    for clash in ("k", "n", "digest", "keep_id", "size", "key", "score", "label", "row", "spans", "a", "b", "id", "taken",
+                  "_rows", "_keep", "_n", "_own", "_digest", "_keep_k", "_bytes_to_code", "lang_pred", "bits_per_byte", "_rank_of_equal"):
         df = df.withColumn(clash, F.lit(f"own {clash}"))
     return df
 
@@ -61,6 +62,12 @@ def test_near(docs, none):
     assert minhash.near_duplicates(none).count() == minhash.deduplicate(none).count() == 0
 
 
+def test_near_repeated_ids_keep_every_group(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (None, "i j k l"), (None, "m n o p")], "doc_id long, text string")
+    kept = sorted(r.text for r in minhash.deduplicate(df, size=2).collect())
+    assert kept == ["a b c d", "e f g h", "i j k l", "m n o p"]
+
+
 def test_parities_never_differ_more_than_the_sets():
     rng = np.random.default_rng(3)
     for size in (0, 1, 40, 3000):
@@ -116,6 +123,65 @@ def test_languages(docs, none):
     assert langid.identify(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 64])
+def test_few_words_and_many_languages(spark, n):
+    """Two rows to learn from, and more languages than one automaton holds."""
+    rng = np.random.default_rng(n)
+    rows, held = [(0, "hello world", "en"), (1, "hallo welt", "de")], []
+    if n > 2:
+        rows = []
+        for g in range(n):
+            words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(120)]
+            texts = [" ".join(rng.choice(words, 60)) for _ in range(9)]
+            rows += [(len(rows) + i, t, f"l{g:02d}") for i, t in enumerate(texts[:8])]
+            held.append((texts[8], f"l{g:02d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = df.unionByName(spark.createDataFrame([(10_000 + i, t, None) for i, (t, _) in enumerate(held)], df.schema)) if held else df
+    got = {r.doc_id: r.lang_pred for r in langid.identify(asked).collect()}
+    assert len(got) == len(rows) + len(held)
+    assert all(got[i] == g for i, _, g in rows)
+    assert sum(got[10_000 + i] == g for i, (_, g) in enumerate(held)) >= 0.95 * len(held)
+
+
+def test_code_lengths_equal_plain_ppm():
+    """Recursive PPM over the counts of one language, byte by byte."""
+    from collections import defaultdict
+
+    sample = [("x", b"abracadabra abba " * 20), ("y", b"zyx abba zyx " * 25)]
+    trees = langid.train(sample, least=3)
+    text = b"abba zyx abracadabra q"
+    got = langid.code_lengths(trees, [text])[0]
+    data = {lang: b"\n" + b for lang, b in sample}
+    total = defaultdict(int)  # contexts of all languages decide which are known
+    for b in data.values():
+        for d in range(1, langid.ORDER + 1):
+            for i in range(len(b) - d + 1):
+                total[b[i : i + d]] += 1
+
+    def chances(b, context):
+        """Of all 256 bytes after a context, by plain recursion."""
+        n = np.zeros(256)
+        for i in range(len(b) - len(context)):
+            if b[i : i + len(context)] == context:
+                n[b[i + len(context)]] += 1
+        kinds = (n > 0).sum()
+        if not context:
+            return np.where(n > 0, n, kinds / (256 - kinds)) / (n.sum() + kinds)
+        shorter = known(b, context[1:])
+        if not kinds:
+            return shorter
+        return np.where(n > 0, n, kinds * shorter / shorter[n == 0].sum()) / (n.sum() + kinds)
+
+    def known(b, context):
+        while context and total[context] < 3:
+            context = context[1:]
+        return chances(b, context)
+
+    for i, (lang, b) in enumerate(data.items()):
+        bits = sum(-np.log2(known(b, (b"\n" + text[:at])[-langid.ORDER :])[c]) for at, c in enumerate(text))
+        assert got[i] == pytest.approx(bits, rel=1e-3)
+
+
 def test_code_lengths_are_exact():
     import numpy as np
 
@@ -208,6 +274,12 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_urls(spark):
+    urls = ["http://h/é?q=数", "http://h/plain", "http://h/a b", None]
+    got = warc.round_trip(spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()
+    assert {r.uri for r in got} >= {*urls[:2], "http://h/a%20b"}
+
+
 def test_arc_versions_and_faults(spark, tmp_path):
     two = b"2 0 me\n" + warc.FIELDS[2].encode() + b"\n"
     good = b"filedesc://t.arc 0.0.0.0 20010203040506 text/plain 200 - - 0 t.arc %d\n" % len(two) + two + b"\n"
