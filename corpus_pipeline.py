@@ -26,8 +26,9 @@ MOST_BITS = 8.0
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without a letter and texts that all languages code no better than raw bytes."""
     release(spark)
-    found = langid.identify(docs, prefix="_stage_")
-    known = (F.col("_stage_lang_pred") != langid.UNDETERMINED) & (F.col("_stage_bits_per_byte") < MOST_BITS)
+    lang, _, rate = langid.result_names(docs)
+    found = langid.identify(docs)
+    known = (F.col(lang) != langid.UNDETERMINED) & (F.col(rate) < MOST_BITS)
     return found.filter(known).select(*docs.columns)
 
 
