@@ -205,8 +205,8 @@ def source_summary(categories: DataFrame, feeds: DataFrame, articles: DataFrame,
     )
 
 
-def sample_articles(articles: DataFrame, k: int) -> DataFrame:
-    """First ``k`` articles of each site, for a summary report."""
+def sample_articles(articles: DataFrame, k: int = 10) -> DataFrame:
+    """First ``k`` articles of each site: the sample that a summary report shows, not a limit of the data."""
     w = W.partitionBy("source_url").orderBy("url")
     return articles.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
 
