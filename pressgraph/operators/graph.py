@@ -30,14 +30,24 @@ def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def overlay(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old: Sequence[str] = ()) -> DataFrame:
+def laid_over(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Rows of one key laid over one another in ``order``: of each column the last value that is not null."""
+    rest = [c for c in df.columns if c not in key and c != order]
+    return df.groupBy(*key).agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in rest])
+
+
+def overlay(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old: Sequence[str] = (),
+            order: str | None = None) -> DataFrame:
     """Full outer merge on ``key``: new non-null values win.
 
     Columns in ``keep_old`` keep the stored value when the row exists already.
-    Of new rows with one key, one counts.  One shuffle per side, on the key.
+    New rows with one key are laid over one another by the column ``order``,
+    which is not stored; without it, one of them counts.  One shuffle per side,
+    on the key.
     """
     key = list(key)
-    new = one_per_key(new, key)
+    new = one_per_key(new, key) if order is None else laid_over(new, key, order)
     columns = list(old.columns) + [c for c in new.columns if c not in old.columns]
     o = old.select(*key, F.struct(*[c for c in old.columns if c not in key]).alias("_old"))
     n = new.select(*key, F.struct(*[c for c in new.columns if c not in key]).alias("_new"))
@@ -60,9 +70,9 @@ def overlay(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old: Sequen
     return joined.select(*out)
 
 
-def merge_articles(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Article vertices merged by URL; incoming properties are laid over."""
-    return overlay(stored, incoming, ["url"])
+def merge_articles(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Article vertices merged by URL; incoming properties are laid over, those of one URL by ``order``."""
+    return overlay(stored, incoming, ["url"], order=order)
 
 
 def upsert_text(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -49,3 +49,8 @@ SEEN_URLS = T.StructType([
     T.StructField("domain", T.StringType()),
     T.StructField("url", T.StringType()),
 ])
+
+FRONTIER = T.StructType([
+    T.StructField("url", T.StringType()),
+    T.StructField("depth", T.IntegerType()),
+])

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pressgraph import constants as K
 from pressgraph import schemas
 from pressgraph.functions import urls as U
+from pressgraph.options import JobOptions
+from pressgraph.plans.merge import merge_into
+from pressgraph.sources.store import Store
 
 
 def page_stream(spark: SparkSession, path: str, pattern: str = "*.parquet",
@@ -52,6 +55,21 @@ def merge_stream(
     return writer.trigger(processingTime=f"{every_seconds} seconds").start()
 
 
+def merge_pages_stream(
+    pages: DataFrame, store: Store, checkpoint: str, name: str = "pages", options: JobOptions = JobOptions(),
+    once: bool = False, every_seconds: int = K.POLL_SECONDS,
+) -> StreamingQuery:
+    """Merge a stream of pages into all stored tables, one commit a micro-batch.
+
+    The store remembers the last batch of the stream ``name``, so a batch that
+    Spark repeats after a failure is not merged twice.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_into(store, batch, options=options, stream=name, batch=batch_id)
+
+    return merge_stream(pages, merge, checkpoint, once, every_seconds)
+
+
 def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
     """Drain a stream into a Parquet folder and wait.
 
