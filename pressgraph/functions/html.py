@@ -3,6 +3,12 @@
 These work on one page at a time inside the scan stage.  Quantifiers over
 attribute text are possessive, so the matcher neither backtracks nor recurses
 on long or broken tags.
+
+Pages come with quoted, single-quoted and unquoted attribute values, and with
+``<`` and ``>`` inside them.  ``tidy`` reads tags by one grammar, in which a quote
+counts only after an equals sign, and writes every value in double quotes with
+those signs as entities.  All other functions see tidy tags only.  Pages that
+are tidy already, which one scan tells, are not rewritten.
 """
 
 from __future__ import annotations
@@ -20,6 +26,16 @@ SCRIPTS = (
     r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 )
 MARK = "\u0001"
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)"
+_OPEN_TAG = rf"<[a-zA-Z][^\s>]*+(?:[^>\"'=]++|=\s*+{_VALUE}?+|[\"'])*+>"
+#: Scripts, styles and comments whole, tags, and the text between; together they are the page.
+_PIECE = rf"(?s)(?i:{SCRIPTS.removeprefix('(?is)')})|{_OPEN_TAG}|[^<]++|<"
+_UNTIDY = r"<[a-zA-Z](?![^<>\"'=]*+(?:=\s*+\"[^\"<>]*+\"[^<>\"'=]*+)*+>)"
+_PAIR = rf"[^\s=/>\"'][^\s=/>]*+(?:\s*+=\s*+{_VALUE})?"
+#: Elements that hold nothing, that hold none of their own name, and that end without a close.
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+NEVER_NESTED = ["a", "title", "button", "textarea", "select"]
+OPTIONAL_CLOSE = ["p", "li", "dt", "dd", "td", "th", "tr", "option"]
 
 
 def _col(c: Column | str) -> Column:
@@ -27,8 +43,67 @@ def _col(c: Column | str) -> Column:
 
 
 def drop_scripts(html: Column | str) -> Column:
-    """Remove scripts, styles and comments; each leaves one space."""
-    return F.regexp_replace(_col(html), SCRIPTS, " ")
+    """Remove scripts, styles and comments; each leaves one space.  Tags are tidy after this."""
+    return tidy(F.regexp_replace(_col(html), SCRIPTS, " "))
+
+
+def _tidy_pair(pair: Column) -> Column:
+    name = F.regexp_extract(pair, r"^[^\s=]+", 0)
+    value = F.regexp_extract(pair, r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
+    bare = F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")
+    for sign, entity in (('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        bare = F.replace(bare, F.lit(sign), F.lit(entity))
+    return F.when(pair.contains("="), F.concat(F.lit(" "), name, F.lit('="'), bare, F.lit('"'))).otherwise(
+        F.concat(F.lit(" "), name))
+
+
+def tidy(html: Column | str) -> Column:
+    """The page with every attribute value in double quotes and without ``<`` or ``>`` in values."""
+    def fix(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^<[a-zA-Z][^\s>/]*", 0)
+        inside = F.regexp_replace(F.substr(piece, F.length(name) + 1), r"/?\s*>$", "")
+        pairs = F.transform(F.regexp_extract_all(inside, F.lit(_PAIR), F.lit(0)), _tidy_pair)
+        return F.when(piece.rlike("^" + _UNTIDY) & piece.endswith(">"), F.concat(
+            name, F.array_join(pairs, ""), F.when(piece.endswith("/>") & ~piece.rlike(r"=\s*[^\s\"'>]*/>$"), "/>").otherwise(">"),
+        )).otherwise(piece)
+
+    h = _col(html)
+    scripts = r"(?i)^<(?:script|style)\b"
+    pieces = F.regexp_extract_all(h, F.lit(_PIECE), F.lit(0))
+    rebuilt = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(scripts), x).otherwise(fix(x))), "")
+    return F.when(h.rlike(_UNTIDY), rebuilt).otherwise(h)
+
+
+def element_at(pieces: Column, i: Column) -> Column:
+    """The element that ``pieces[i]`` begins: its open tag and what it holds, without its close.
+
+    ``pieces`` is a page from some open tag on, cut before open tags.  The end is
+    the close that matches: opens and closes of the same tag are counted.  Tags
+    that hold nothing or whose close may be left out end with the piece or at
+    their first close, and so does an element without a matching close.
+    """
+    piece = F.get(pieces, i)
+    name = F.lower(F.regexp_extract(piece, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
+    close = F.concat(F.lit("(?i)</"), name, F.lit(r"\b"))
+    # Patterns that are no literals are compiled for each value, so plain searches come first.
+    low, sign = F.lower(piece), F.concat(F.lit("</"), name)
+    at = F.position(sign, low)
+    sure = (at > 0) & F.substr(low, at + F.length(sign), F.lit(1)).isin(">", " ", "\n")
+    first = F.when(sure, F.substr(piece, F.lit(1), at - 1)).otherwise(F.get(F.split(piece, close, 2), 0))
+    again = F.position(F.concat(F.lit("<"), name), F.substr(F.lower(first), F.lit(2))) > 0
+    open_ended = ~sure & ~F.regexp_like(piece, close)
+    rest = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")
+    parts = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"), F.lit(False).alias("done"))
+
+    def step(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(part.startswith("</"), -1).otherwise(1)
+        done = acc["done"] | (depth <= 0)
+        return F.struct(depth.alias("depth"), F.when(done, acc["text"]).otherwise(F.concat(acc["text"], part)).alias("text"), done.alias("done"))
+
+    whole = F.aggregate(parts, start, step, lambda acc: F.when(acc["done"], acc["text"]).otherwise(first))
+    plain = name.isin(VOID_TAGS + OPTIONAL_CLOSE) | ~(again | open_ended)
+    return F.when(plain, first).otherwise(whole)
 
 
 def strip_tags(html: Column | str) -> Column:
@@ -91,21 +166,20 @@ def elements(
 ) -> Column:
     """Elements by tag and/or attribute pattern, as raw text in page order.
 
-    Each item is the open tag and what follows up to the first close of the
-    same tag.  ``value`` is searched case-insensitively inside the attribute
+    Each item is the open tag and what follows up to the matching close
+    (``element_at``).  ``value`` is searched case-insensitively inside the attribute
     (``exact`` asks for equality); without a value the attribute is ignored.
     """
     name = tag or r"[a-zA-Z][a-zA-Z0-9]*"
     need = rf"[^>]*\b{attr}\s*=" if attr and value else ""
     h = _col(html)
     marked = F.regexp_replace(h, rf"(?is)(<{name}\b{need})", f"{MARK}$1")
-    pieces = F.slice(F.split(marked, MARK), F.lit(2), F.lit(1 << 30))
-
-    def cut(p: Column) -> Column:
-        opener = F.regexp_extract(p, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)
-        return F.split_part(p, F.concat(F.lit("</"), opener), F.lit(1))
-
-    found = F.transform(pieces, cut)
+    pieces = F.split(marked, MARK)
+    pieces = F.slice(pieces, F.lit(2), F.size(pieces))
+    if tag in NEVER_NESTED:
+        found = F.transform(pieces, lambda p: F.get(F.split(p, rf"(?i)</{tag}\b", 2), 0))
+    else:
+        found = F.transform(pieces, lambda p, i: element_at(pieces, i))
     if attr and value:
         def keep(p: Column) -> Column:
             v = attribute(open_tag(p), attr)

@@ -50,19 +50,17 @@ def with_head(pages: DataFrame) -> DataFrame:
     """
     d = pages.withColumn("doc", _clean("html"))
 
-    def node(p: Column) -> Column:
-        opener = H.open_tag(p)
-        name = F.regexp_extract(p, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)
-        return F.struct(
-            opener.alias("open"),
-            F.split_part(p, F.concat(F.lit("</"), name), F.lit(1)).alias("element"))
-
     pieces = F.split(F.regexp_replace("doc", _MARK, H.MARK + "$1"), H.MARK)
+    pieces = F.slice(pieces, F.lit(2), F.size(pieces))
+
+    def node(p: Column, i: Column) -> Column:
+        return F.struct(H.open_tag(p).alias("open"), H.element_at(pieces, i).alias("element"))
+
     d = d.withColumns({
         "metas": F.transform(H.open_tags("doc", "meta"), H.attributes),
         "head_links": F.transform(H.open_tags("doc", "link"), H.attributes),
         "html_attrs": H.attributes(F.coalesce(F.get(H.open_tags("doc", "html"), 0), F.lit(""))),
-        "nodes": F.transform(F.slice(pieces, F.lit(2), F.lit(1 << 30)), node),
+        "nodes": F.transform(pieces, node),
         "title_text": H.element_text(F.get(H.elements("doc", "title"), 0)),
     })
     entries = F.transform(F.col("metas"), lambda m, i: F.struct(

@@ -73,7 +73,7 @@ def tokens(pages: DataFrame, spread: bool = True) -> DataFrame:
     ``kind`` is open, close, text, script or comment.
     """
     rows = spread_pages(pages, spread).select(
-        "page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))).alias("pos", "tok"))
+        "page_id", F.posexplode_outer(F.regexp_extract_all(H.tidy("html"), F.lit(_TOKEN), F.lit(0))).alias("pos", "tok"))
     # Outer explodes here and elsewhere keep the planner from testing the array
     # for emptiness first, which would cut every page twice.
     rows = rows.filter(F.col("tok").isNotNull())
@@ -191,9 +191,13 @@ def allow_tags(token_rows: DataFrame, allowed=tuple(K.ARTICLE_HTML_TAGS)) -> Dat
 # --- segments ----------------------------------------------------------------
 
 _SEGMENT_START = rf"(?i)(</?(?:{'|'.join(BLOCK_TAGS)})\b)"
+#: What a flagged inline element holds: elements of its own name are passed over whole, three deep.
+_HELD = r"(?:[^<]++|<(?!/?\1\b))*+"
+for _ in range(3):
+    _HELD = rf"(?:[^<]++|<(?!/?\1\b)|<\1\b[^>]*+>{_HELD}</\1\s*+>)*+"
 _INLINE_FLAGGED = (
     r"(?is)<(span|a|em|i|b|strong|small|time|cite|font|label|u)\b[^>]*?(?:"
-    + _FLAG.replace("(?is)", "") + "|" + _WIDGET.replace("(?is)", "") + r")[^>]*>.*?</\1\s*>"
+    + _FLAG.replace("(?is)", "") + "|" + _WIDGET.replace("(?is)", "") + rf")[^>]*>{_HELD}</\1\s*>"
 )
 
 

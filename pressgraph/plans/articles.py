@@ -19,8 +19,8 @@ from pressgraph.operators import topics as P
 def with_language(pages: DataFrame) -> DataFrame:
     """Add ``lang``: the language the page declares, English when it declares none."""
     d = pages.withColumn("html_attrs", H.attributes(
-        F.regexp_extract("html", r"(?i)<html\b[^>]*>", 0)))
-    d = d.withColumn("metas", F.transform(H.open_tags("html", "meta"), H.attributes))
+        F.get(H.open_tags(H.drop_scripts("html"), "html"), 0)))
+    d = d.withColumn("metas", F.transform(H.open_tags(H.drop_scripts("html"), "meta"), H.attributes))
     return d.withColumn("lang", M.effective_language(M.meta_language())).drop("html_attrs", "metas")
 
 

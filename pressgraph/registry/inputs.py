@@ -140,6 +140,17 @@ def press_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def untidy(html, number):
+    """The same page in one of four styles of markup: tidy, unquoted values, single quotes, signs in values and nested spans."""
+    style = F.pmod(number, F.lit(4))
+    signs = F.regexp_replace(html, r"<(p|div|span|a|meta|link|h1|iframe|body)([ >])", '<$1 data-note="1 > 0 < <b>"$2')
+    return (
+        F.when(style == 1, F.regexp_replace(html, r"=\"([^\"'\s<>=`]+)\"", "=$1"))
+        .when(style == 2, F.regexp_replace(html, r"=\"([^\"']*)\"", "='$1'"))
+        .when(style == 3, F.regexp_replace(signs, r"Ann <b>([^<]*)</b></span>", "Ann <span>$1</span></span>"))
+        .otherwise(html))
+
+
 def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = press_fields(spark, sf_dir)
     L = F.lit
@@ -170,7 +181,8 @@ def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         L('</a></p></div></div>\n<iframe src="http://www.youtube.com/embed/'), pid,
         L('" width="560" height="315"></iframe></body></html>'))
     # Extraction is CPU work: a single small input file is spread over the tasks.
-    return f.repartition(spark.sparkContext.defaultParallelism, "page_id").select("page_id", "url", html.alias("html"))
+    return f.repartition(spark.sparkContext.defaultParallelism, "page_id").select(
+        "page_id", "url", untidy(html, F.col("page_id")).alias("html"))
 
 
 PRESS_SQL = """
