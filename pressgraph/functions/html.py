@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pressgraph.functions.binding import let
 from pressgraph.functions.text import inner_trim, unescape
 
 _IN_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
@@ -74,23 +75,31 @@ def tidy(html: Column | str) -> Column:
     return F.when(h.rlike(_UNTIDY), rebuilt).otherwise(h)
 
 
-def element_at(pieces: Column, i: Column) -> Column:
-    """The element that ``pieces[i]`` begins: its open tag and what it holds, without its close.
+def elements_at(pieces: Column) -> Column:
+    """The element that each piece begins: its open tag and what it holds, without its close.
 
     ``pieces`` is a page from some open tag on, cut before open tags.  The end is
     the close that matches: opens and closes of the same tag are counted.  Tags
     that hold nothing or whose close may be left out end with the piece or at
     their first close, and so does an element without a matching close.
     """
-    piece = F.get(pieces, i)
+    return let(pieces, lambda all_: F.transform(all_, lambda p, i: _element(p, all_, i)))
+
+
+def _element(piece: Column, pieces: Column, i: Column) -> Column:
     name = F.lower(F.regexp_extract(piece, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
-    close = F.concat(F.lit("(?i)</"), name, F.lit(r"\b"))
     # Patterns that are no literals are compiled for each value, so plain searches come first.
-    low, sign = F.lower(piece), F.concat(F.lit("</"), name)
-    at = F.position(sign, low)
-    sure = (at > 0) & F.substr(low, at + F.length(sign), F.lit(1)).isin(">", " ", "\n")
+    return let(F.struct(name.alias("name"), F.lower(piece).alias("low")), lambda x: let(
+        F.struct(x["name"].alias("name"), x["low"].alias("low"), F.position(F.concat(F.lit("</"), x["name"]), x["low"]).alias("at")),
+        lambda y: _ending(piece, pieces, i, y["name"], y["low"], y["at"])))
+
+
+def _ending(piece: Column, pieces: Column, i: Column, name: Column, low: Column, at: Column) -> Column:
+    close = F.concat(F.lit("(?i)</"), name, F.lit(r"\b"))
+    sure = (at > 0) & F.substr(low, at + F.length(name) + 2, F.lit(1)).isin(">", " ", "\n")
     first = F.when(sure, F.substr(piece, F.lit(1), at - 1)).otherwise(F.get(F.split(piece, close, 2), 0))
-    again = F.position(F.concat(F.lit("<"), name), F.substr(F.lower(first), F.lit(2))) > 0
+    again = F.position(F.concat(F.lit("<"), name), F.substr(low, F.lit(2))) > 0
+    again = again & (F.position(F.concat(F.lit("<"), name), F.substr(low, F.lit(2))) < F.when(sure, at).otherwise(F.length(low)))
     open_ended = ~sure & ~F.regexp_like(piece, close)
     rest = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")
     parts = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))
@@ -167,7 +176,7 @@ def elements(
     """Elements by tag and/or attribute pattern, as raw text in page order.
 
     Each item is the open tag and what follows up to the matching close
-    (``element_at``).  ``value`` is searched case-insensitively inside the attribute
+    (``elements_at``).  ``value`` is searched case-insensitively inside the attribute
     (``exact`` asks for equality); without a value the attribute is ignored.
     """
     name = tag or r"[a-zA-Z][a-zA-Z0-9]*"
@@ -179,7 +188,7 @@ def elements(
     if tag in NEVER_NESTED:
         found = F.transform(pieces, lambda p: F.get(F.split(p, rf"(?i)</{tag}\b", 2), 0))
     else:
-        found = F.transform(pieces, lambda p, i: element_at(pieces, i))
+        found = elements_at(pieces)
     if attr and value:
         def keep(p: Column) -> Column:
             v = attribute(open_tag(p), attr)

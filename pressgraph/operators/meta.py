@@ -53,14 +53,11 @@ def with_head(pages: DataFrame) -> DataFrame:
     pieces = F.split(F.regexp_replace("doc", _MARK, H.MARK + "$1"), H.MARK)
     pieces = F.slice(pieces, F.lit(2), F.size(pieces))
 
-    def node(p: Column, i: Column) -> Column:
-        return F.struct(H.open_tag(p).alias("open"), H.element_at(pieces, i).alias("element"))
-
     d = d.withColumns({
         "metas": F.transform(H.open_tags("doc", "meta"), H.attributes),
         "head_links": F.transform(H.open_tags("doc", "link"), H.attributes),
         "html_attrs": H.attributes(F.coalesce(F.get(H.open_tags("doc", "html"), 0), F.lit(""))),
-        "nodes": F.transform(pieces, node),
+        "nodes": F.transform(H.elements_at(pieces), lambda e: F.struct(H.open_tag(e).alias("open"), e.alias("element"))),
         "title_text": H.element_text(F.get(H.elements("doc", "title"), 0)),
     })
     entries = F.transform(F.col("metas"), lambda m, i: F.struct(
