@@ -65,6 +65,10 @@ def test_redirects_and_encoding(spark):
     assert one(spark, U.quote_spaces(F.lit("a b"))) == "a%20b"
     assert one(spark, U.is_absolute(F.lit("http://example.com/a"))) is True
     assert one(spark, U.is_absolute(F.lit("/a"))) is False
+    for url in ("https://localhost/x", "FTP://10.0.0.1:21/", "http://[::1]:80/a", "http://a-b.c.example.?q=1"):
+        assert one(spark, U.is_absolute(F.lit(url))) is True, url
+    for url in ("http://host/a", "mailto:a@b.example", "http://-a.example/", "http://a..b/", "http://a.example/x y", "//a.example/", ""):
+        assert one(spark, U.is_absolute(F.lit(url))) is False, url
     assert one(spark, U.seed_url(F.lit("https://x.y"))) == "https://x.y"
     assert one(spark, U.seed_url(F.lit("x.y"))) == "http://x.y"
     assert one(spark, U.urls_in_text(F.lit("<b>see</b> http://a.b/c?d=1, and https://e.f/g h"))) == [
