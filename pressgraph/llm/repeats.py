@@ -16,8 +16,10 @@ with a stack yields the tree of common-prefix intervals.  An interval with at
 least LENGTH common bytes whose occurrences differ in the byte before them (or
 start a context) is a maximal repeat group; all its occurrences are given.
 
-Anchors with more than CROWD distinct contexts would fill a shard: their window
-hashes are counted instead, which combines before the shuffle.
+Anchors with more than CROWD distinct contexts would fill a shard: their windows
+are dealt out by hash to as many groups as they fill shards, and equal hashes are
+counted there.  A context's windows in one group travel as one row, and come back
+as one, so rows grow with contexts and not with windows.
 
 Texts travel compressed.  Defined cases: a null text is empty; texts shorter
 than LENGTH repeat nothing; rows with equal id and text are two places, so both
@@ -77,9 +79,26 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], length: int = LENGTH):
-    """(text, first window, windows, anchor, context) of each context of the texts; hashes are signed."""
+    """(text, first window, windows, anchor, context) of each context of the texts; hashes are signed.
+
+    Texts are cut into pieces that overlap by less than a window, and the pieces are
+    hashed in buffers of little more than SIDE bytes, whatever the length of a text.
+    """
+    found, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - length + 1), SIDE):
+            held.append((i, a, t[a : a + SIDE + length - 1]))
+            size += len(held[-1][2])
+            if size > SIDE:
+                found.append(_contexts(held, length))
+                held, size = [], 0
+    found.append(_contexts(held, length))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _contexts(pieces: list[tuple[int, int, bytes]], length: int):
+    """``contexts`` of pieces (text, offset, bytes) that are hashed side by side; 2^24 bytes at most."""
     gram = min(GRAM, length)
-    pieces = [(i, a, t[a : a + SIDE + length - 1]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - length + 1), SIDE)]
     data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -288,12 +307,54 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     numbered = parts.filter("bytes IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     compared = numbered.groupBy("shard").applyInArrow(shard, schema)
 
-    # Crowded anchors: windows with a hash of their own anchor that is seen twice.
-    window = parts.filter("hashes IS NOT NULL").select("doc_id", "k", "anchor", "n", "start", F.posexplode("hashes").alias("at", "hash"))
-    seen = window.groupBy("anchor", "hash").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
-    crowded = window.join(seen, ["anchor", "hash"]).filter("n = 1").select(
-        "doc_id", "k", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + length).alias("b"))
-    return whole.unionByName(compared).unionByName(crowded)
+    return whole.unionByName(compared).unionByName(crowded_spans(parts.filter("hashes IS NOT NULL"), length))
+
+
+def crowded_spans(parts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, k, a, b): runs of windows whose hash another context of their anchor, or a copy, has too."""
+    busy = parts.groupBy("anchor").agg(F.ceil(F.sum("windows") / SHARD).cast("int").alias("groups"))
+    dealt_schema = _typed(parts.schema, "doc_id", "anchor:long", "start:long", "n:long", "part:long", "at:longs", "hash:longs")
+
+    def deal(batches):
+        for b in batches:
+            take, rows = [], []
+            for i, r in enumerate(b.select(["anchor", "start", "n", "hashes", "groups"]).to_pylist()):
+                hashes = np.array(r["hashes"], np.int64)
+                part = hashes.view(np.uint64) % np.uint64(r["groups"])
+                for p in np.unique(part).tolist():
+                    at = np.flatnonzero(part == p)
+                    take.append(i)
+                    rows.append((r["anchor"], r["start"], r["n"], p, at, hashes[at]))
+            at = pa.array(take, pa.int64())
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(at), b.column("k").take(at), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                dealt_schema.names)
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sizes = np.array(table.column("hash").combine_chunks().value_lengths())
+        hashes = table.column("hash").combine_chunks().flatten().to_numpy()
+        owner, at = np.repeat(np.arange(len(sizes)), sizes), table.column("at").combine_chunks().flatten().to_numpy()
+        # A hash that one context has twice repeats as well; contexts with copies are whole repeats already.
+        _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        single = table.column("n").to_numpy()[owner] == 1
+        hit = np.flatnonzero((times[which] > 1) & single)
+        rows, first = np.unique(owner[hit], return_index=True)
+        places = np.split(at[hit], first[1:]) if len(rows) else []
+        take = pa.array(rows)
+        return pa.table([table.column("doc_id").take(take), table.column("k").take(take), table.column("start").take(take),
+                         pa.array(places, pa.list_(pa.int64()))], names=["doc_id", "k", "start", "at"])
+
+    dealt = parts.join(busy, "anchor").mapInArrow(deal, dealt_schema)
+    found = dealt.groupBy("anchor", "part").applyInArrow(count, _typed(parts.schema, "doc_id", "start:long", "at:longs"))
+    # A context's windows are LENGTH - GRAM + 1 at most, so a run list is short.
+    windows = F.array_sort(F.flatten(F.collect_list("at")))
+    return found.groupBy("doc_id", "k", "start").agg(windows.alias("_at")).select(
+        "doc_id", "k", F.explode(merged(F.transform("_at", lambda x: F.struct(
+            (F.col("start") + x).alias("a"), (F.col("start") + x + length).alias("b"))))).alias("run")).select(
+        "doc_id", "k", "run.a", "run.b")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -235,12 +235,36 @@ def test_repeats_partial_and_crowded(spark, monkeypatch):
     texts = [f"{i:03d}{'xyz' * (i % 5)}{core[i % 7 :]}{i * 7919}" * (1 + i % 2) for i in range(40)] + ["ab" * 500, "\0" * 450]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = dict(enumerate(repeats_by_force([t.encode() for t in texts])))
-    for crowd in (repeats.CROWD, 3):
+    for crowd, shard in ((repeats.CROWD, repeats.SHARD), (3, 300), (3, repeats.SHARD)):
         monkeypatch.setattr(repeats, "CROWD", crowd)
+        monkeypatch.setattr(repeats, "SHARD", shard)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
         assert got == want
 
 
+def test_repeats_far_apart_in_one_text():
+    rng = np.random.default_rng(9)
+    text = bytearray(rng.integers(97, 123, 18_000_000, np.uint8).tobytes())
+    passage = bytes(rng.integers(97, 123, 1000, np.uint8))
+    places = (1000, 17_000_000)
+    for p in places:
+        text[p : p + 1000] = passage
+    _, start, windows, anchor, _ = repeats.contexts([bytes(text)])
+    near = [set(anchor[(start >= p) & (start + windows + 199 <= p + 1000)].tolist()) for p in places]
+    assert near[0] and near[0] == near[1] and windows.sum() == len(text) - 199
+
+
+def test_repeats_in_pieces(spark, monkeypatch):
+    from tests.llm.test_queries import repeats_by_force
+
+    monkeypatch.setattr(repeats, "SIDE", 700)
+    core = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(900))
+    texts = [f"{core[i * 37 :]}{i}{'abcde' * i}{core[: 200 + i * 31]}" for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(repeats_by_force([t.encode() for t in texts])))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()} == want
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (None, 1), (9, None)], "doc_id long, label int")
     machine = toxicity.fit(*toxicity.sample(docs.select("doc_id", "text"), labels))
