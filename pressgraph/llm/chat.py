@@ -17,6 +17,8 @@ task holds a whole transcript.
 
 Defined cases: null lines are blank lines; a null conversation id is an id like
 any other; equal positions are ordered by their text; repeated lines are lines;
+``<|im_`` inside a text gets a space in the rendered form, so a text ends no turn;
+a marker that a role does not use stays in the text;
 with nothing to learn from, all states are alike and every line belongs to one
 turn of the role ``user``; an empty table gives no turns; other columns do not
 matter.
@@ -38,7 +40,9 @@ from pressgraph.session import materialise
 
 #: Lines of a part, transcripts of the sample, and distinct markers that are told apart.
 PART, SAMPLE, MARKERS = 4096, 2000, 500
-_MARKER = re.compile(r"^\s*([\[<(*#|]{0,3}\s*[^\W\d_]{1,12}\s*[\])*|]{0,3}\s*[:>.\])-]{1,2}|[>$#*-]{1,3})\s+")
+#: A marker is taken from a turn's text if at least that share of the role's turns begins with it.
+MARKED = 0.02
+_MARKER = re.compile(r"^\s*([\[<(*#|]{0,3}\s*[^\W\d_]{1,12}\s*[\])*|]{0,3}\s*[:>.\])-]{1,2}\*{0,3}|[>$#*-]{1,3})\s+")
 
 
 def split_marker(line: str) -> tuple[str, str]:
@@ -61,6 +65,7 @@ class Model:
     step: np.ndarray
     emit: list[dict[str, np.ndarray]]
     other: list[np.ndarray]
+    markers: list[set[str]]  # by state, those that are no part of the text
 
     @property
     def states(self) -> int:
@@ -75,19 +80,19 @@ class Model:
         return out
 
 
-def fit(transcripts: list[list[tuple[str, str, bool]]]) -> Model:
-    """``transcripts``: lists of (line, role, starts a turn)."""
+def fit(transcripts: list[list[tuple[str, str, bool]]], whole: list[bool] | None = None) -> Model:
+    """``transcripts``: lists of (line, role, starts a turn); ``whole`` tells those that begin with a transcript (None: all)."""
     roles = sorted({r for t in transcripts for _, r, _ in t}) or ["user"]
     n = 2 * len(roles)
     number = {r: 2 * i for i, r in enumerate(roles)}
     start, step = np.full(n, 0.5), np.full((n, n), 0.1)
     counts: list[dict[str, np.ndarray]] = [{} for _ in features("")]
-    for t in transcripts:
+    for t, from_start in zip(transcripts, whole or [True] * len(transcripts), strict=True):
         before = None
         for line, role, first in t:
             s = number[role] + (not first)
             if before is None:
-                start[s] += 1
+                start[s] += from_start
             else:
                 step[before, s] += 1
             before = s
@@ -101,7 +106,15 @@ def fit(transcripts: list[list[tuple[str, str, bool]]]) -> Model:
         total = sum(common.values(), np.zeros(n)) + 0.5 * (len(common) + 1)
         emit.append({v: np.log((c + 0.5) / total) for v, c in common.items()})
         other.append(np.log(0.5 / total))
-    return Model(roles, np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), emit, other)
+    begun = sum(counts[0].values(), np.zeros(n))
+    markers = [{v for v, c in counts[0].items() if v and c[s] >= MARKED * begun[s] and c[s]} for s in range(n)]
+    return Model(roles, np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), emit, other, markers)
+
+
+def without_marker(model: Model, line: str, state: int) -> str:
+    """The line without its speaker marker, if the state's role is known to speak with it."""
+    marker, rest = split_marker(line)
+    return rest if marker in model.markers[state] else line
 
 
 def through(model: Model, scores: np.ndarray) -> np.ndarray:
@@ -239,7 +252,7 @@ def turns(lines: DataFrame, model: Model) -> DataFrame:
                     begins = s % 2 == 0
                     local += begins
                     yield {"conv": r["conv"], "part": r["part"], "at": i, "local": local, "role": m.roles[s // 2],
-                           "line": split_marker(r["line"])[1] if begins else r["line"]}
+                           "line": without_marker(m, r["line"], s) if begins else r["line"]}
 
         yield from _chunks(rows(), to_arrow_schema(line_schema))
 
@@ -256,7 +269,8 @@ def turns(lines: DataFrame, model: Model) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"]), "\n")
     whole = numbered.groupBy("conv", (F.col("ahead") + F.col("local") - 1).alias("turn")).agg(
         F.first("role").alias("role"), F.count("*").alias("n_lines"), F.trim(text).alias("text"))
-    return whole.withColumn("rendered", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")))
+    return whole.withColumn("rendered", F.concat(
+        F.lit("<|im_start|>"), "role", F.lit("\n"), F.replace("text", F.lit("<|im_"), F.lit("<| im_")), F.lit("<|im_end|>\n")))
 
 
 def learn(lines: DataFrame) -> Model:
@@ -267,9 +281,9 @@ def learn(lines: DataFrame) -> Model:
         F.col("conv").alias("_conv"), F.col("part").alias("_part"))
     rows = lines.join(F.broadcast(chosen), F.col("conv").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part"))).select(
         "conv", "part", "pos", "line", "role", "begins").toArrow().to_pylist()
-    rows.sort(key=lambda r: (str(r["conv"]), r["part"], r["pos"]))
+    rows.sort(key=lambda r: (str(r["conv"]), r["part"], tuple(r["pos"].values()) if isinstance(r["pos"], dict) else r["pos"]))
     found: dict = {}
     for r in rows:
         found.setdefault((r["conv"], r["part"]), []).append((r["line"] or "", r["role"] or "user", r["begins"]))
-    return fit(list(found.values()))
+    return fit(list(found.values()), [part <= 0 for _, part in found])
 

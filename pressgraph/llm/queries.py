@@ -175,7 +175,8 @@ STYLES = (("User: ", "Assistant: ", "System: "), ("Human> ", "AI> ", "[system] "
 def raw_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines (conv, part, pos, line, role, begins) of transcripts written from ``conversations``.
 
-    The style is one of four by conversation; one turn in eight has no marker.
+    The style is one of four by conversation; one turn in eight has no marker.  Lines
+    stand by turn; rows with one turn number follow one another whole, by a hash.
     """
     c = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("conv"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"),
@@ -187,10 +188,11 @@ def raw_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     marker = F.when(F.pmod(F.xxhash64("conv", "turn", F.lit("bare")), F.lit(8)) == 0, "").when(
         F.col("role") == "user", of(0)).when(F.col("role") == "assistant", of(1)).otherwise(of(2))
-    lines = c.withColumn("marker", marker).select("*", F.posexplode(F.split("text", "\n")).alias("i", "piece"))
+    whole = c.withColumns({"marker": marker, "order": F.xxhash64("role", "text"), "row": F.monotonically_increasing_id()})
+    lines = whole.select("*", F.posexplode(F.split("text", "\n")).alias("i", "piece"))
     return lines.select(
         "conv", F.floor(F.col("turn") / 256).cast("long").alias("part"),
-        (F.col("turn") * (1 << 20) + F.col("i")).alias("pos"),
+        F.struct("turn", "order", "row", "i").alias("pos"),
         F.when(F.col("i") == 0, F.concat("marker", "piece")).otherwise(F.col("piece")).alias("line"), "role",
         (F.col("i") == 0).alias("begins"))
 

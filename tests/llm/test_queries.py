@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pressgraph.llm import queries as Q
@@ -125,6 +126,23 @@ def test_chat_held_out(spark):
     assert sum(found[c] == true[c] for c in held) >= 0.7 * len(held)  # one marker in eight is missing
 
 
+def test_chat_texts(spark):
+    """Roles and texts of whole conversations; texts are compared without the white space at their ends."""
+    true, sf = defaultdict(list), "/root/testdata/sf0.01"
+    for r in sorted(Q.table(spark, sf, "conversations").collect(), key=lambda r: (r.conv_id, r.turn)):
+        true[r.conv_id].append((r.role, r.text.strip()))
+    found = defaultdict(list)
+    for r in sorted(Q.op2(spark, sf).collect(), key=lambda r: (r.conv_id, r.turn)):
+        found[r.conv_id].append((r.role, r.text.strip()))
+    # Where a turn without a marker begins cannot always be told; conversations with all their markers come back whole.
+    bare = F.pmod(F.xxhash64(F.col("conv_id"), F.col("turn").cast("long"), F.lit("bare")), F.lit(8)) == 0
+    unmarked = {r.conv_id for r in Q.table(spark, sf, "conversations").filter(bare).select("conv_id").distinct().collect()}
+    same = {c: sorted(found[c]) == sorted(true[c]) for c in true}
+    marked = [c for c in true if c not in unmarked]
+    assert len(marked) >= 20 and sum(same[c] for c in marked) >= 0.95 * len(marked)
+    assert sum(same.values()) >= 0.65 * len(true)
+
+
 def test_mix_totals(spark):
     got = Q.op3(spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, Q.op3(spark, SF).collect()))
