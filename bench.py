@@ -1,14 +1,16 @@
 """Headline queries, timed.  Prints one JSON line.
 
 BENCH_SF_DIR (default sf0.1) and BENCH_CPUS (default 8) choose data and cores.
-Each query runs once to warm up and is then timed once, writing every result
-row to a sink that discards it.
+Each query runs three times, writing every result row to a sink that discards
+it; the median counts, so a first run that compiles code and a run beside other
+load do not.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -32,10 +34,12 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         query = registry[name][0]
-        for _ in range(2):
+        runs = []
+        for _ in range(3):
             start = time.time()
             query(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.time() - start, 3)
+            runs.append(time.time() - start)
+        times[name] = round(statistics.median(runs), 3)
         print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
