@@ -15,14 +15,15 @@ pair, so they are dropped before anything is ordered, and classes with fewer
 than AGREE shared lists have no partner at all.
 
 Candidates that agree often enough are confirmed on the full sets.  Where whole
-lists are compared, two sketches of BITS bits go with each class, so that pairs
-too far apart are left out of the join itself.  The parity sketch adds up, modulo
-two, one bit for each shingle: sets differ in at least as many shingles as their
-sketches do in bits, which loses no link and decides nearly all pairs of short
-texts.  For long texts, whose parities are random, the second sketch has one bit of
-each of BITS further minima: two bits agree with probability (1 + similarity) / 2,
-and pairs that differ in more than DIFFER bits are left out, with a chance below
-one in a million to miss a link.  Pairs within a long list are not all compared: each list has a hub in each of ROUNDS
+lists are compared, a sketch of BITS bits goes with each class, so that pairs
+too far apart are left out of the join itself.  Sets of at most SHORT shingles have
+a parity sketch, which adds up, modulo two, one bit for each shingle: sets differ in
+at least as many shingles as their sketches do in bits, which loses no link and
+decides nearly all pairs of short texts.  For longer sets, whose parities are random,
+the sketch has one bit of each of BITS further minima: two bits agree with probability
+(1 + similarity) / 2, and pairs that differ in more than DIFFER bits are left out, with
+a chance of about one in a million to miss a link.  Sets just below SHORT have both, so
+that two sets of similar sizes always have one kind in common.  Pairs within a long list are not all compared: each list has a hub in each of ROUNDS
 rounds, every class is compared with the hub that it meets in most of its lists,
 and classes that are linked become one component.  A last round then compares, in each list, the
 classes that still belong to different components, all of them, so no link
@@ -51,9 +52,12 @@ from pressgraph.llm import common as C
 from pressgraph.session import materialise
 
 SHINGLE, SIMILARITY = 5, (80, 100)
-COORDINATES, AGREE, ROUNDS = 64, 34, 3
+#: At similarity 0.8 fewer than AGREE of COORDINATES agree with a chance of 2 in ten million.
+COORDINATES, AGREE, ROUNDS = 32, 13, 3
+#: What a class and a hub must agree in; pairs below it are left to the last round.
+HUB_AGREE = 21
 #: At similarity 0.8 a tenth of the bits differ, 51 with a standard deviation of 6.8; DIFFER is five of these above.
-BITS, DIFFER = 512, 85
+BITS, DIFFER, SHORT = 512, 85, 600
 #: Bytes of text hashed side by side.
 SIDE = 1_000_000
 
@@ -209,16 +213,22 @@ def hub_pairs(posts: DataFrame, seed: int) -> DataFrame:
 
 
 def sketches(texts: DataFrame, size: int) -> DataFrame:
-    """(id, p0, p1, ..., w0, w1, ...): the parities and the sketch of each class in ``texts``."""
+    """(id, p0, p1, ..., w0, w1, ...): the parities of each class in ``texts``, null for long sets, and the sketch, null for short ones."""
     names = [f"{kind}{i}" for kind in "pw" for i in range(BITS // 64)]
+    long_from = SHORT * SIMILARITY[0] // SIMILARITY[1]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
+        none = np.zeros(BITS // 64, np.int64)
         for batch in batches:
             packed = [unpack(t) for t in batch.column(1).to_pylist()]
-            words = [np.concatenate([parities(s), sketch(s)]) for i, j in _side_by_side(packed) for s in shingle_sets(packed[i:j], size)]
+            sets = [s for i, j in _side_by_side(packed) for s in shingle_sets(packed[i:j], size)]
+            n = np.array([len(s) for s in sets])
+            absent = {"p": n > SHORT, "w": n < long_from}
+            words = [np.concatenate([parities(s) if len(s) <= SHORT else none, sketch(s) if len(s) >= long_from else none]) for s in sets]
             table = np.array(words, np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, i]) for i in range(len(names)))], ["id", *names])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(table[:, i], mask=absent[c[0]]) for i, c in enumerate(names))], ["id", *names])
 
     return texts.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
@@ -246,7 +256,8 @@ def all_pairs(posts: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in names if c.startswith(kind)))
 
     n, m, (part, whole) = F.col("x.n"), F.col("y.n"), SIMILARITY
-    near = similar_sizes(n, m) & ((whole + part) * differ("p") <= (whole - part) * (n + m)) & (differ("w") <= DIFFER)
+    by_parity = F.coalesce((whole + part) * differ("p") <= (whole - part) * (n + m), F.lit(True))
+    near = similar_sizes(n, m) & by_parity & F.coalesce(differ("w") <= DIFFER, F.lit(True))
     first = ~F.arrays_overlap("x.lesser", "y.lesser")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     return x.join(y, (F.col("x.token") == F.col("y.token")) & apart & near & first).select(
@@ -259,12 +270,12 @@ def similar_sizes(n, m, similarity: tuple[int, int] = SIMILARITY):
     return whole * F.least(n, m) >= part * F.greatest(n, m)
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in AGREE coordinates."""
+def agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The pairs whose signatures agree in ``least`` coordinates."""
     def count(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-            keep = pa.array((x == y).sum(1) >= AGREE)
+            keep = pa.array((x == y).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     s = classes.select("id", "sig")
@@ -331,8 +342,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             comp, labelled = F.coalesce("root", "id"), posts.join(found, posts["id"] == found["node"], "left")
         labelled = materialise(labelled.select(
             "id", "n", "company", comp.alias("comp"), F.explode("tokens").alias("token")), "labelled")
-        pairs = hub_pairs(labelled, turn) if turn < ROUNDS else all_pairs(labelled, texts, size)
-        new = materialise(confirmed(materialise(agreeing(pairs, classes), "agreeing"), texts, size), "links")
+        last = turn == ROUNDS
+        pairs = all_pairs(labelled, texts, size) if last else hub_pairs(labelled, turn)
+        near = materialise(agreeing(pairs, classes, AGREE if last else HUB_AGREE), "agreeing")
+        new = materialise(confirmed(near, texts, size), "links")
         links = new if links is None else links.unionByName(new)
         found = materialise(C.components(links), "components")
     member = classes.join(found, classes["id"] == found["node"], "left").select(
