@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> dict[str, tuple[Query, str | None]]:
     from pressgraph.registry import (  # noqa: F401
-        crawl, graph, media, pages, stored, streams, text, urls,
+        crawl, forms, graph, media, pages, stored, streams, text, urls,
     )
 
     return REGISTRY

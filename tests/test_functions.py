@@ -90,7 +90,20 @@ def test_text(spark):
 def test_dates(spark):
     for text in ("2014-03-05", "2014/3/5", "March 5, 2014", "5 Mar 2014", "/2014/03/05/", "Wed, 5 Mar 2014"):
         assert str(one(spark, D.parse_date(F.lit(text)))).startswith("2014-03-05"), text
-    assert one(spark, D.parse_date(F.lit("soon"))) is None
+    for text in ("soon", "March 5, 2014 10:00 AM XYZ", "February 30th, 2014", "Marketing 5, 2014", "March 5, 2014 25:00 CET"):
+        assert one(spark, D.parse_date(F.lit(text))) is None, text
+
+
+def test_dates_in_words(spark):
+    for text, want in {
+        "March 5, 2014 10:00 AM EST": "2014-03-05 15:00:00", "Wednesday, March 5th, 2014 at 9:30 pm": "2014-03-05 21:30:00",
+        "mar 5th, 2014": "2014-03-05 00:00:00", "mercredi 5 mars 2014 à 18h05": "2014-03-05 18:05:00",
+        "1er août 2014": "2014-08-01 00:00:00", "Mittwoch, 5. März 2014, 7:00 Uhr CET": "2014-03-05 06:00:00",
+        "5 de marzo de 2014": "2014-03-05 00:00:00", "5.3.2014": "2014-03-05 00:00:00",
+        "March 5, 2014 12:00 am (PST)": "2014-03-05 08:00:00", "2014-03-05 10:00:30.25 +0530": "2014-03-05 04:30:30",
+        "5 March 2014 10:00 GMT+2": "2014-03-05 08:00:00",
+    }.items():
+        assert str(one(spark, D.parse_date(F.lit(text)).cast("string"))) == want, text
 
 
 def test_bylines_and_titles(spark):
