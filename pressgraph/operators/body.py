@@ -309,9 +309,68 @@ def body_rows(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
     return d.select(
         "page_id", "pos", "tag", "role", "unit_order", "text", "plain", "n_stop", "n_words",
         "adopted", "keep", "links", "videos", "first_image",
+        *[c for c in ("images", "levels") if "levels" in d.columns],
         (F.col("in_top") & ~F.col("dropped")).alias("in_top"))
 
 
+def with_image_levels(scored_rows: DataFrame) -> DataFrame:
+    """Add ``levels``: where the search for a page's image meets a row, nearest first by value.
+
+    The search starts at the winning container and widens: earlier siblings,
+    nearest first, then the parent, its earlier siblings, and so on up to
+    IMAGE_MAX_PARENTS + 1 parents.  ``parent_depth`` counts the parents,
+    ``sibling`` how far back a sibling lies, 0 for the container itself.
+    Siblings are containers and block elements; what lies loose between them
+    is met at their parent.  Rows that cleaning removed, rows beyond the last
+    parent and all rows of a page without a winner have no level.
+    """
+    d = scored_rows
+    opened, closed = F.col("step") == 1, F.col("step") == -1
+    live = ~F.col("dropped") | ~F.col("in_body")
+    steps = K.IMAGE_MAX_PARENTS + 1
+    d = d.withColumn("_a0", F.col("top_id"))
+    for k in range(1, steps + 1):
+        inner = F.col(f"_a{k - 1}")
+        d = d.withColumn(f"_a{k}", F.max(F.when(F.col("pos") == inner, F.col("parent"))).over(_page()))
+    for k in range(steps + 1):
+        node = F.col(f"_a{k}")
+        d = d.withColumn(f"_in{k}", F.coalesce(_inside(
+            F.col("pos") == node, closed & (F.col("elem") == node)), F.lit(False)))
+    place = "struct<parent_depth:int,sibling:long>"
+    none = F.array().cast(f"array<{place}>")
+    wider, beside = [], []
+    for k in range(steps + 1):
+        node = F.col(f"_a{k}")
+        here = F.struct(F.lit(k).alias("parent_depth"), F.lit(0).cast("long").alias("sibling"))
+        wider.append(F.when(F.col(f"_in{k}"), F.array(here)).otherwise(none))
+        if k == 0:
+            continue
+        inner = F.col(f"_a{k - 1}")
+        child = live & (F.col("kind") == "open") & F.when(opened, F.col("parent") == node).otherwise(F.col("holder") == node)
+        d = d.withColumn("_child", F.coalesce(child, F.lit(False)))
+        d = d.withColumn("_nth", F.count(F.when(F.col("_child"), 1)).over(_ordered()))
+        # The child a row lies in: loose rows of the node end it.
+        event = F.when(F.col("_child"), F.struct(F.col("_nth").alias("nth"))).when(
+            F.col("holder") == node, F.struct(F.lit(None).cast("long").alias("nth")))
+        d = d.withColumn("_mine", F.last(event, True).over(_ordered()))
+        start = F.max(F.when(F.col("pos") == inner, F.col("_nth"))).over(_page())
+        d = d.withColumn(f"_back{k}", F.when(
+            F.col(f"_in{k}") & (F.col("pos") < inner), start - F.col("_mine.nth")))
+        earlier = F.struct(F.lit(k - 1).alias("parent_depth"), F.col(f"_back{k}").alias("sibling"))
+        beside.append(F.when(F.col(f"_back{k}").isNotNull() & ~F.col(f"_in{k - 1}"), F.array(earlier)).otherwise(none))
+    levels = F.when(live, F.array_sort(F.concat(*beside, *wider))).otherwise(none)
+    gone = [f"_{what}{k}" for what in ("a", "in", "back") for k in range(steps + 1)]
+    return d.withColumn("levels", levels).drop("_child", "_nth", "_mine", *gone)
+
+
+def image_levels(scored_rows: DataFrame) -> DataFrame:
+    """``(page_id, ord, src, levels)``: the images of each page in page order."""
+    d = with_image_levels(scored_rows).filter(F.size("images") > 0)
+    d = d.select("page_id", "pos", "levels", F.posexplode("images").alias("_nth", "src"))
+    return d.select("page_id", F.struct("pos", "_nth").alias("_at"), "src", "levels").withColumn(
+        "ord", F.row_number().over(_page().orderBy("_at"))).drop("_at")
+
+
 def kept_blocks(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
     """Blocks that make the body, with their output order."""
     return body_rows(scored_rows, lenient).filter("keep").drop("links", "videos", "in_top", "keep")
@@ -346,15 +405,22 @@ def page_bodies(rows: DataFrame) -> DataFrame:
     """One row per page from ``body_rows``: text, links, videos, first image.
 
     All of them leave in one aggregate, so the block rows are computed once.
+    Rows of ``with_image_levels`` add ``places``: the page's images in order,
+    with the levels on which a search meets them.
     """
     top = F.col("in_top")
+    placed = "levels" in rows.columns
+    pictures = F.when(F.size("images") > 0, F.struct("pos", "images", "levels"))
     d = rows.groupBy("page_id").agg(
         F.collect_list(F.when(F.col("keep"), F.struct("unit_order", "pos", "text"))).alias("parts"),
         F.collect_list(F.when(top & (F.size("links") > 0), F.struct("pos", "links"))).alias("l"),
         F.collect_list(F.when(top & (F.size("videos") > 0), F.struct("pos", "videos"))).alias("v"),
         F.min_by(F.when(top, F.col("first_image")),
                  F.when(top & F.col("first_image").isNotNull(), F.col("pos"))).alias("body_image"),
+        *([F.array_sort(F.collect_list(pictures)).alias("p")] if placed else []),
     )
+    places = F.flatten(F.transform("p", lambda x: F.transform(
+        x["images"], lambda src: F.struct(src.alias("src"), x["levels"].alias("levels")))))
     return d.select(
         "page_id",
         F.when(F.size("parts") > 0, _glue(F.col("parts"))).alias("text"),
@@ -362,6 +428,7 @@ def page_bodies(rows: DataFrame) -> DataFrame:
                  lambda x: x["url"] != "").alias("links"),
         F.flatten(F.transform(F.array_sort("v"), lambda x: x["videos"])).alias("videos"),
         "body_image",
+        *([places.alias("places")] if placed else []),
     )
 
 

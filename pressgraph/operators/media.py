@@ -138,32 +138,55 @@ def image_candidates(page_images: DataFrame, images: DataFrame, limit: int | Non
     return sized.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).drop("n")
 
 
+def fits_level(parent_depth: Column | str = "parent_depth") -> Column:
+    """Large enough for its level, no banner: wide ones only count above the first node and its siblings."""
+    wide = (F.col(parent_depth) if isinstance(parent_depth, str) else parent_depth) < 1
+    return (wide | (F.col("width") > K.IMAGE_OUTER_MIN_WIDTH)) & ~is_banner("width", "height") & (
+        F.col("width") > K.IMAGE_MIN_WIDTH)
+
+
 def rank_images(page_images: DataFrame, images: DataFrame, limit: int | None = None) -> DataFrame:
     """Best image per page: ``src, width, height, score, confidence, level``.
 
     Images are scored in page order against the first accepted one.  Levels
     are searched outwards: the first level that accepts an image decides.
     """
-    d = image_candidates(page_images, images, limit)
-    wide = (F.col("parent_depth") < 1) | (F.col("width") > K.IMAGE_OUTER_MIN_WIDTH)
-    d = d.filter(wide & ~is_banner("width", "height") & (F.col("width") > K.IMAGE_MIN_WIDTH))
-    node = W.partitionBy("page_id", "level")
-    order = node.orderBy("ord")
+    return _nearest_best(image_candidates(page_images, images, limit).filter(fits_level()))
+
+
+def search_images(placed: DataFrame, images: DataFrame) -> DataFrame:
+    """Widening search: best image per page, as ``rank_images``, from ``body.image_levels``.
+
+    Each occurrence meets the size table once; only those of a fit size are
+    then listed for the levels that hold them.  An image without a size, or
+    on no level, is not found.
+    """
+    sized = placed.filter(~is_bad_image_name("src") & (F.size("levels") > 0)).join(images, "src").filter(
+        good_bytes("bytes") & fits_level(F.lit(0)))
+    d = sized.withColumn("_at", F.explode("levels")).select(
+        "page_id", "ord", "src", "width", "height", "_at.parent_depth",
+        (F.shiftleft(F.col("_at.parent_depth").cast("long"), 32) + F.col("_at.sibling")).alias("level"))
+    return _nearest_best(d.filter(fits_level()))
+
+
+def _nearest_best(d: DataFrame) -> DataFrame:
+    """Of accepted images of each page, the best scored one of its nearest level."""
+    near = W.partitionBy("page_id")
+    d = d.withColumn("_near", F.min("level").over(near)).filter(F.col("level") == F.col("_near"))
+    order = near.orderBy("ord")
     area = F.col("width").cast("double") * F.col("height")
     d = d.withColumns({
         "k": F.row_number().over(order),
         "base": F.first(area).over(order) * K.IMAGE_BASE_FACTOR,
-        "n_scored": F.count("*").over(node),
+        "n_scored": F.count("*").over(near),
     })
     d = d.withColumn("score", F.when(F.col("k") == 1, 1.0).otherwise(
         F.lit(1.0) / F.col("k") * (area / F.col("base"))))
     best = d.groupBy("page_id").agg(F.max(F.struct(
-        (-F.col("level")).alias("near"), F.col("score"), (-F.col("ord")).alias("early"),
-        F.col("src"), F.col("width"), F.col("height"),
-        F.floor(F.lit(100) / F.col("n_scored")).alias("confidence"))).alias("b"))
+        F.col("score"), (-F.col("ord")).alias("early"), F.col("src"), F.col("width"), F.col("height"),
+        F.col("level"), F.floor(F.lit(100) / F.col("n_scored")).alias("confidence"))).alias("b"))
     return best.select(
-        "page_id", (-F.col("b.near")).alias("level"), "b.src", "b.width", "b.height", "b.score",
-        "b.confidence")
+        "page_id", "b.level", "b.src", "b.width", "b.height", "b.score", "b.confidence")
 
 
 def largest_images(page_images: DataFrame, images: DataFrame) -> DataFrame:
@@ -183,11 +206,11 @@ def site_image_classes(spark) -> DataFrame:
     return table.select("domain", F.explode(F.split("css", r"\|")).alias("css"))
 
 
-def known_images(pages: DataFrame, site_classes: DataFrame) -> DataFrame:
-    """First image inside a known container, by id and then by class.
+def with_known_names(pages: DataFrame, site_classes: DataFrame) -> DataFrame:
+    """Add ``known_names``: the pattern of image containers of a page's site.
 
-    Needs ``with_head`` columns.  General names are part of the pattern; site
-    names come from the dimension, joined on the domain.
+    General names are part of the pattern; site names come from the
+    dimension, joined on the host.
     """
     sites = site_classes.groupBy("domain").agg(
         F.array_join(F.array_sort(F.collect_set("css")), "|").alias("_css"))
@@ -196,20 +219,34 @@ def known_images(pages: DataFrame, site_classes: DataFrame) -> DataFrame:
     general = "|".join(K.KNOWN_IMAGE_NAMES)
     pattern = F.when(F.col("_css").isNull(), F.lit(f"(?i)({general})")).otherwise(
         F.concat(F.lit(f"(?i)({general}|"), F.col("_css"), F.lit(")")))
-    d = d.withColumn("_pattern", pattern)
+    return d.withColumn("known_names", pattern).drop("_site", "_css")
+
 
+def known_image() -> Column:
+    """First image inside a known container, by id and then by class; NULL if none.
+
+    Needs ``known_names`` and the columns of ``with_head``.
+    """
     def first_src(attr: str) -> Column:
         marked = F.regexp_replace("doc", rf"(?is)(<[a-z][a-z0-9]*\b[^>]*\s{attr}\s*=)", H.MARK + "$1")
-        pieces = F.slice(F.split(marked, H.MARK), F.lit(2), F.lit(1 << 30))
+        pieces = F.filter(F.split(marked, H.MARK), lambda p, i: i > 0)
         srcs = F.transform(
-            F.filter(pieces, lambda p: F.regexp_like(H.attribute(H.open_tag(p), attr), F.col("_pattern"))),
+            F.filter(pieces, lambda p: F.regexp_like(H.attribute(H.open_tag(p), attr), F.col("known_names"))),
             lambda p: H.attribute(F.regexp_extract(p, r"(?is)<img\b[^>]*>", 0), "src"))
         return F.get(F.filter(srcs, lambda s: s != ""), 0)
 
-    possible = F.regexp_like("doc", F.col("_pattern"))
+    possible = F.regexp_like("doc", F.col("known_names"))
     src = F.when(possible, F.coalesce(first_src("id"), first_src("class")))
-    return d.withColumn("_src", src).filter(F.col("_src").isNotNull()).select(
-        "page_id", U.resolve("url", F.col("_src")).alias("src"), F.lit(90).alias("confidence"))
+    return F.when(src.isNotNull(), U.resolve("url", src))
+
+
+def known_images(pages: DataFrame, site_classes: DataFrame) -> DataFrame:
+    """First image inside a known container of each page that has one.
+
+    Needs ``with_head`` columns.
+    """
+    d = with_known_names(pages, site_classes).withColumn("_src", known_image())
+    return d.filter(F.col("_src").isNotNull()).select("page_id", F.col("_src").alias("src"), F.lit(90).alias("confidence"))
 
 
 def meta_images() -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pressgraph import constants as K
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
+from pressgraph.functions import urls as U
 from pressgraph.operators import media as V
 
 CONTAINER_TAGS = [
@@ -206,14 +207,15 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
 
     Scripts, styles and comments are dropped first.  ``text`` keeps a newline
     for each ``<br>``; ``links`` holds the anchors of the segment;
+    ``images`` the addresses of its images, absolute if pages have a ``url``;
     ``flagged`` says that the tag itself matches a boilerplate rule.
     """
     base = spread_pages(pages, spread)
-    lang = "lang" if "lang" in pages.columns else None
+    carried = [c for c in ("lang", "url") if c in pages.columns]
     cleaned = F.regexp_replace(H.drop_scripts("html"), H.MARK, "")
     marked = F.regexp_replace(H.tidy_inline(cleaned), _SEGMENT_START, f"{H.MARK}$1")
     rows = base.select(
-        "page_id", *([lang] if lang else []),
+        "page_id", *carried,
         F.posexplode_outer(F.split(marked, H.MARK)).alias("pos", "seg"))
     # The close of a non-container with nothing after it bounds nothing.
     inner = [t for t in BLOCK_TAGS if t not in CONTAINER_TAGS]
@@ -247,6 +249,9 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
             H.attribute(H.open_tag(e), "href").alias("url"), H.element_text(e).alias("text")),
     )
     no_links = F.array().cast("array<struct<url:string,text:string>>")
+    images = F.filter(F.transform(H.open_tags("body", "img"), lambda t: H.attribute(t, "src")), lambda x: x != "")
+    if "url" in carried:
+        images = F.transform(images, lambda x: U.resolve(F.col("url"), x))
     rows = rows.withColumns({
         "flagged": (F.col("kind") == "open") & ~exempt & flag,
         "known_rule": F.when((F.col("kind") == "open") & is_container, known),
@@ -256,10 +261,11 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
                            .otherwise(F.lit(""))),
         "first_image": F.nullif(H.attribute(F.regexp_extract(
             "body", r"(?is)<img\b[^>]*>", 0), "src"), F.lit("")),
+        "images": F.when(F.col("body").rlike(r"(?i)<img\b"), images),
         "has_media": F.col("body").rlike(r"(?i)<(img|object|embed)\b"),
         "raw_text": T.unescape(H.strip_tags(F.regexp_replace("body", r"(?i)<br\b[^>]*>", "\u0002"))),
     })
     text = F.trim(F.regexp_replace(
         F.regexp_replace(T.inner_trim("raw_text"), " ?\u0002 ?", "\n"), "^ +| +$", ""))
     rows = rows.withColumn("text", text)
-    return rows.drop("seg", "opener", "body", "raw_text")
+    return rows.drop("seg", "opener", "body", "raw_text", "url")

@@ -14,6 +14,7 @@ from pressgraph.operators import body as B
 from pressgraph.operators import media as V
 from pressgraph.operators import meta as M
 from pressgraph.operators import topics as P
+from pressgraph.session import materialise
 
 
 def with_language(pages: DataFrame) -> DataFrame:
@@ -37,16 +38,29 @@ def parse_articles(
     pages: DataFrame,
     extra_columns: Sequence[Callable[[DataFrame], DataFrame]] = (),
     spread: bool = True,
+    images: DataFrame | None = None,
 ) -> DataFrame:
     """One row per page; pages without HTML keep a row of empty fields.
 
     The body rows and the metadata rows are both keyed by ``page_id``; only
     the metadata columns, not the page, are shuffled for the join.
+
+    ``images`` (src, bytes, width, height; one row per src) turns the image
+    search on: ``top_image`` is then the image of a known container, else the
+    best one around the body, else the one that metadata names.  The bodies
+    are written to the shared folder first, as the search reads them too.
     """
+    if images is not None:
+        pages = V.with_known_names(pages, V.site_image_classes(pages.sparkSession))
+    known = {"known_image": V.known_image()} if images is not None else {}
     meta = M.metadata(
-        pages, tweets=V.tweets("doc"), top_image=V.meta_images(), images=V.image_urls())
+        pages, tweets=V.tweets("doc"), top_image=V.meta_images(), images=V.image_urls(), **known)
     rows = B.scored(B.blocks(with_language(pages), spread=spread))
-    out = meta.join(B.page_bodies(B.body_rows(rows)), "page_id", "left")
+    if images is None:
+        out = meta.join(B.page_bodies(B.body_rows(rows)), "page_id", "left")
+    else:
+        bodies = materialise(B.page_bodies(B.body_rows(B.with_image_levels(rows))), "bodies")
+        out = _with_best_image(meta.join(bodies.drop("places"), "page_id", "left"), bodies, images)
     no_links = F.array().cast("array<struct<url:string,text:string>>")
     out = out.withColumns({
         "author": F.array_join(F.coalesce("authors", F.array().cast("array<string>")), ","),
@@ -60,6 +74,18 @@ def parse_articles(
     return out
 
 
+def _with_best_image(articles: DataFrame, bodies: DataFrame, images: DataFrame) -> DataFrame:
+    placed = bodies.select("page_id", F.posexplode("places").alias("ord", "_p")).select("page_id", "ord", "_p.*")
+    large = V.search_images(placed, images).select("page_id", F.col("src").alias("_large"))
+
+    def named(src: str, kind: str):
+        return F.when(F.col(src).isNotNull(), F.struct(
+            F.col(src).alias("src"), F.lit(kind).alias("extraction_type")))
+
+    best = F.coalesce(named("known_image", "known"), named("_large", "bigimage"), F.col("top_image"))
+    return articles.join(large, "page_id", "left").withColumn("top_image", best).drop("known_image", "_large")
+
+
 def article_mentions(articles: DataFrame) -> DataFrame:
     """``(url, topic, score)`` from the cleaned text."""
     return P.term_counts(articles, key="url", text="cleaned_text")

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pressgraph.operators import body as B
 from pressgraph.operators import media as V
 from pressgraph.operators import meta as M
+from pressgraph.plans import articles as A
 from pressgraph.registry import register
 from pressgraph.registry import inputs as I
 
@@ -122,6 +124,86 @@ def best_images(spark, sf_dir):
     return V.best_images(known, large, metas)
 
 
+# Gallery pages written from documents: nine places around the body, each
+# holding a picture if the number of the page has its bit set.
+_PLACES = {  # place: levels that meet it, as (parent_depth, sibling); none beyond the last parent or in boilerplate
+    0: [], 1: [(2, 1), (3, 0)], 2: [(1, 1), (2, 0), (3, 0)], 3: [(0, 2), (1, 0), (2, 0), (3, 0)], 4: [],
+    5: [(0, 1), (1, 0), (2, 0), (3, 0)], 6: [(0, 0), (1, 0), (2, 0), (3, 0)], 7: [(1, 0), (2, 0), (3, 0)], 8: [(3, 0)],
+}
+_GALLERY = (
+    '<html><head><meta property="og:image" content="/own.jpg"></head><body><div id="z"><div class="x">@0</div>'
+    '<div id="c"><div class="x">@1</div><div id="b"><p>@2</p><div id="a"><div class="x">@3</div>'
+    '<div class="navbar">@4</div><p>@5</p><div class="text">@t'
+    "<p>this is one of the long lines that we have and it was here for you</p>@6</div>"
+    '<div class="x">@7</div></div></div><div class="x">@8</div></div></div></body></html>')
+
+
+def gallery_pages(spark, sf_dir):
+    parts = I.table(spark, sf_dir, "part").count()
+    text = F.array_join(F.transform(
+        F.split(I._escape(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "\n")
+    html = F.lit(_GALLERY)
+    for n in _PLACES:
+        key = F.pmod((F.col("doc_id") * 9 + n) * 7919, F.lit(parts)) + 1
+        picture = F.concat(F.lit('<img src="http://img.example/'), key.cast("string"), F.lit('.jpg">'))
+        shown = F.getbit("doc_id", F.lit(n)) == 1
+        html = F.replace(html, F.lit(f"@{n}"), F.when(shown, picture).otherwise(F.lit("")))
+    return I.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(F.lit("http://gallery.example/"), F.col("doc_id").cast("string")).alias("url"),
+        F.replace(html, F.lit("@t"), text).alias("html"))
+
+
+def gallery_images(spark, sf_dir):
+    return images(spark, sf_dir).withColumn("src", F.regexp_replace("src", r"example/.*/", "example/"))
+
+
+_GALLERY_SQL = f"""
+places AS (SELECT unnest([{", ".join(str(n) for n in _PLACES)}]) AS place),
+levels(place, parent_depth, sibling) AS (VALUES {", ".join(f"({n}, {p}, {s})" for n, v in _PLACES.items() for p, s in v)}),
+shown AS (SELECT doc_id AS page_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS ord,
+    (doc_id * 9 + place) * 7919 % (SELECT count(*) FROM part) + 1 AS k
+  FROM documents, places WHERE (doc_id >> place) & 1 = 1),
+img AS (SELECT p_partkey AS k, 'http://img.example/' || p_partkey || '.jpg' AS src,
+   CAST(p_partkey % 500 * 40 AS BIGINT) AS bytes, CAST(p_size * 24 AS INTEGER) AS width,
+   CAST(p_partkey % 37 * 20 + 15 AS INTEGER) AS height FROM part),
+fit AS (SELECT page_id, ord, parent_depth, sibling, src, width, height FROM shown JOIN img USING (k) JOIN levels USING (place)
+  WHERE (bytes = 0 OR bytes > 4000) AND bytes < 15728640 AND greatest(width, height) // least(width, height) <= 5
+    AND width > 50 AND (parent_depth < 1 OR width > 300)),
+k AS (SELECT *, row_number() OVER w AS k, first_value(width * height) OVER w AS fa,
+  count(*) OVER (PARTITION BY page_id, parent_depth, sibling) AS n FROM fit
+  WINDOW w AS (PARTITION BY page_id, parent_depth, sibling ORDER BY ord)),
+s AS (SELECT *, CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / k * (CAST(width AS DOUBLE) * height / (CAST(fa AS DOUBLE) * 1.48::DOUBLE)) END AS score FROM k),
+found AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY parent_depth, sibling, score DESC, ord) AS r FROM s)
+"""
+
+
+@register("page_image_levels", f"""WITH {_GALLERY_SQL}
+SELECT page_id, CAST(ord AS INTEGER) AS ord, 'http://img.example/' || k || '.jpg' AS src, CAST(parent_depth AS INTEGER) AS parent_depth,
+  CAST(sibling AS BIGINT) AS sibling FROM shown LEFT JOIN levels USING (place)""")
+def page_image_levels(spark, sf_dir):
+    rows = B.scored(B.blocks(gallery_pages(spark, sf_dir)))
+    return B.image_levels(rows).withColumn("_at", F.explode_outer("levels")).select("page_id", "ord", "src", "_at.*")
+
+
+@register("page_image_search", f"""WITH {_GALLERY_SQL}
+SELECT page_id, src, width, height, round(score, 6) AS score, CAST(100 // n AS BIGINT) AS confidence,
+  CAST(parent_depth AS BIGINT) * 4294967296 + sibling AS level FROM found WHERE r = 1""")
+def page_image_search(spark, sf_dir):
+    rows = B.scored(B.blocks(gallery_pages(spark, sf_dir)))
+    return V.search_images(B.image_levels(rows), gallery_images(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@register("article_images", f"""WITH {_GALLERY_SQL}
+SELECT doc_id AS page_id, coalesce(src, 'http://gallery.example/own.jpg') AS src,
+  CASE WHEN src IS NULL THEN 'opengraph' ELSE 'bigimage' END AS extraction_type
+FROM documents LEFT JOIN found ON page_id = doc_id AND r = 1""")
+def article_images(spark, sf_dir):
+    """Images of whole articles: found around the body, else named by metadata."""
+    found = A.parse_articles(gallery_pages(spark, sf_dir), images=gallery_images(spark, sf_dir))
+    return found.select("page_id", "top_image.src", "top_image.extraction_type")
+
+
 @register("press_videos", f"""WITH {I.PRESS_SQL}
 SELECT page_id, 'iframe' AS embed_type, 'youtube' AS provider, '560' AS width, '315' AS height,
   'http://www.youtube.com/embed/' || page_id AS src FROM press""")
