@@ -166,7 +166,6 @@ BANNER_RATIO = 5
 MIN_IMAGE_AREA = 5000
 THUMBNAIL_WIDTH = 90
 MAX_IMAGE_RATIO = 16 / 9.0
-VIDEO_TAGS = ["iframe", "embed", "object", "video"]
 VIDEO_PROVIDERS = ["youtube", "vimeo", "dailymotion", "kewego"]
 
 # --- fixed values: topics --------------------------------------------------
@@ -200,3 +199,20 @@ SEED_SITES = [
     "http://Weather.gov", "http://Thedailybeast.com", "http://Hollywoodreporter.com",
     "http://Smh.com.au", "http://Economist.com", "http://Topix.com",
 ]
+
+# --- fixed values: frequent function words of languages without a public list ---
+# Chinese by character; Korean with the particles that end a word.
+OWN_STOP_WORDS = {
+    "ar": "في من على إلى عن مع أن إن كان كانت هذا هذه ذلك تلك التي الذي الذين ما لا لم لن قد هو هي هم كما أو ثم بل حتى "
+          "بعد قبل بين كل بعض غير عند عندما منذ حيث إذا لكن ليس أي أما نحن أنا أنت له لها لهم به بها فيه فيها منه منها عليه عليها",
+    "id": "yang dan di ke dari untuk pada dengan ini itu adalah tidak akan dalam oleh juga sudah telah bisa dapat ada "
+          "saya kami kita anda dia mereka atau tetapi karena jika maka seperti lebih sangat hanya masih harus lagi "
+          "agar bahwa sebagai saat ketika para serta antara bagi namun sebuah secara tersebut hingga belum",
+    "ko": "은 는 이 가 을 를 에 의 도 로 와 과 만 에서 에게 으로 부터 까지 보다 처럼 하고 라고 그 저 것 수 등 및 또 더 "
+          "그리고 그러나 하지만 또한 있다 있는 없다 없는 했다 한다 된다 된 한 할 하는 이다 있습니다 합니다 입니다 했습니다",
+    "pl": "i w na z do nie się że to jest o jak po co tak za od ale czy już tylko przez dla był była było były jego jej "
+          "ich lub oraz które który która są być przy pod nad bez ze może można tego tym ten ta te tej tych jednak gdy "
+          "kiedy gdzie bardzo także również jeszcze mnie mi my wy oni on ona ono ja ty go mu by aby",
+    "zh": "的 了 在 是 我 有 和 就 不 都 一 也 很 到 你 会 會 着 著 没 沒 这 這 那 他 她 它 们 們 与 與 及 或 而 但 对 對 把 被 从 從 "
+          "以 之 为 為 其 因 所 于 於 等 个 個 并 並 又 还 還 将 將 要 让 讓 向 只 已 再 则 則 给 給 上 中 下",
+}

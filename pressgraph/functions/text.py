@@ -12,15 +12,19 @@ import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressgraph import constants as K
+
 SPACE = r"[ \t\n\x0B\f\r]+"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 # Language codes of the stop-word lists that ship with Spark.
 STOP_WORD_LISTS = {
     "da": "danish", "de": "german", "en": "english", "es": "spanish", "fi": "finnish",
-    "fr": "french", "hu": "hungarian", "it": "italian", "nl": "dutch", "no": "norwegian",
-    "pt": "portuguese", "ru": "russian", "sv": "swedish", "tr": "turkish",
+    "fr": "french", "hu": "hungarian", "it": "italian", "nb": "norwegian", "nl": "dutch",
+    "nn": "norwegian", "no": "norwegian", "pt": "portuguese", "ru": "russian", "sv": "swedish",
+    "tr": "turkish",
 }
+LANGUAGES = tuple(sorted({*STOP_WORD_LISTS, *K.OWN_STOP_WORDS}))
 DEFAULT_LANGUAGE = "en"
 
 
@@ -93,14 +97,14 @@ def title_case(text: Column | str) -> Column:
 
 @cache
 def stop_words(lang: str) -> tuple[str, ...]:
-    """The public list of a language; an unknown language has none.
+    """The public list of a language, else the package's own; an unknown language has none.
 
-    The lists are resources of Spark's ML jar and are read from it directly,
+    The public lists are resources of Spark's ML jar and are read from it directly,
     so they are available before a session exists.
     """
     name = STOP_WORD_LISTS.get(lang)
     if name is None:
-        return ()
+        return tuple(sorted(set(K.OWN_STOP_WORDS.get(lang, "").split())))
     for home in (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)):
         for jar in glob.glob(f"{home}/jars/spark-mllib_*.jar") if home else ():
             with zipfile.ZipFile(jar) as z:
@@ -113,7 +117,7 @@ def stop_words(lang: str) -> tuple[str, ...]:
 
 def stop_word_table(spark: SparkSession) -> DataFrame:
     """Dimension ``(lang, word)``; a few thousand rows whatever the data size."""
-    rows = [(lang, w) for lang in STOP_WORD_LISTS for w in stop_words(lang)]
+    rows = [(lang, w) for lang in LANGUAGES for w in stop_words(lang)]
     return spark.createDataFrame(rows, "lang string, word string")
 
 
@@ -128,34 +132,45 @@ def strip_punctuation(text: Column | str) -> Column:
 def words(text: Column | str, lang: Column | str | None = None) -> Column:
     """Candidate words: punctuation removed, lower case, cut at single spaces.
 
-    Chinese is cut in character pairs; Arabic keeps punctuation marks apart
-    from words.  Every other language, Korean included, uses the plain cut.
+    Chinese, which has no spaces, is cut into its characters, other scripts
+    within it into runs.  Arabic loses its vowel signs and keeps punctuation
+    marks apart from words.  Every other language uses the plain cut.
     """
     t = _col(text)
     plain = F.split(F.lower(strip_punctuation(t)), " ")
     if lang is None:
         return plain
     code = _col(lang)
-    squeezed = F.regexp_replace(strip_punctuation(t), SPACE, "")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(squeezed) - 1, F.lit(1))),
-        lambda i: F.substr(squeezed, i, F.lit(2)),
-    )
-    marks = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
-    return F.when(code == "zh", pairs).when(code == "ar", marks).otherwise(plain)
+    signs = F.regexp_extract_all(F.lower(t), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    bare = F.regexp_replace(t, "[\u0640\u064B-\u0652]", "")
+    marks = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
+    return F.when(code == "zh", signs).when(code == "ar", marks).otherwise(plain)
+
+
+def _is_stop_word(lang: str) -> str:
+    """SQL test of a word ``w``: listed, or listed once what the script joins to it is cut off.
+
+    Korean particles end a word and are listed themselves; Arabic conjunctions
+    of one letter begin it.
+    """
+    listed = "(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words(lang)) + ")"
+    if lang == "ko":
+        return f"w IN {listed} OR (length(w) > 2 AND right(w, 2) IN {listed}) OR (length(w) > 1 AND right(w, 1) IN {listed})"
+    if lang == "ar":
+        return f"w IN {listed} OR (left(w, 1) IN ('و', 'ف') AND substr(w, 2) IN {listed})"
+    return f"w IN {listed}"
 
 
 @cache
 def _stop_word_case(words_column: str, lang_column: str, languages: tuple[str, ...]) -> str:
     cases = []
     for name in languages:
-        listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words(name))
-        cases.append(f"WHEN '{name}' THEN filter({words_column}, w -> w IN ({listed}))")
+        cases.append(f"WHEN '{name}' THEN filter({words_column}, w -> {_is_stop_word(name)})")
     return f"CASE {lang_column} {' '.join(cases)} ELSE CAST(array() AS array<string>) END"
 
 
 def stop_words_found(
-    words_column: str, lang_column: str, languages: tuple[str, ...] = tuple(STOP_WORD_LISTS)
+    words_column: str, lang_column: str, languages: tuple[str, ...] = LANGUAGES
 ) -> Column:
     """Words of a list column that are stop words of ``lang`` (none when unknown).
 
@@ -166,7 +181,7 @@ def stop_words_found(
 
 
 def stop_word_count(
-    words_column: str, lang_column: str, languages: tuple[str, ...] = tuple(STOP_WORD_LISTS)
+    words_column: str, lang_column: str, languages: tuple[str, ...] = LANGUAGES
 ) -> Column:
     return F.size(stop_words_found(words_column, lang_column, languages))
 
