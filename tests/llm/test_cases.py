@@ -273,6 +273,21 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.fit([])).count() == 0
 
 
+def test_factorization_learns_terms_that_tell_only_in_pairs():
+    """Label 1 if one of two terms is there but not both: neither tells anything alone."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(3000):
+        a, b = (int(x) for x in rng.integers(0, 2, 2))
+        others = {int(x) for x in rng.integers(100, 400, 20)}
+        rows.append((sorted(others | ({7} if a else set()) | ({9} if b else set())), a ^ b))
+    m = toxicity.fit(rows[:2000])
+    items, owner = toxicity._flat([t for t, _ in rows[2000:]])
+    at = m.place[items]
+    margin = m.margin(at[at > 0], owner[at > 0], 1000)
+    assert ((margin > 0) == np.array([y for _, y in rows[2000:]])).mean() >= 0.9
+
+
 def test_factorization_learns_pairs():
     """Two terms that are harmless alone and toxic together."""
     import numpy as np
