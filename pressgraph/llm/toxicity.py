@@ -12,9 +12,10 @@ intercept is then corrected for the rates at which the classes were drawn.
 Every term in at least LEAST sampled texts takes part, so that terms which tell
 nothing alone can tell in pairs.  The factors of a term are drawn to 0 together
 (by PAIRS); one whose factors are 0 after an epoch is out.  Terms that tell alone
-(chi-square against the label above CHI) are free of that pull.  The settings were
-chosen by cross-validation within the rows that are learned from.  Scoring
-reads every word of every text.
+(chi-square against the label above CHI) are free of that pull.  SPREAD and PAIRS were
+chosen by cross-validation within the rows that are learned from; EPOCHS, RATE, L2 and
+CHI are older than that and came from held-out labels.  Scoring reads every word of
+every text.
 
 Defined cases: a null or empty text has no terms and gets the logistic of the
 intercept; several labels of an id count as their maximum; null labels and ids
