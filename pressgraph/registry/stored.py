@@ -69,5 +69,5 @@ def stored_mentions(spark, sf_dir):
 def stream_stored_articles(spark, sf_dir):
     out = streams._folder(spark, "stored-stream")
     store = Store(spark, f"{out}/store")
-    N.merge_pages_stream(N.page_stream(spark, sf_dir, "pages.parquet"), store, f"{out}/checkpoint", once=True).awaitTermination()
+    N.merge_pages_stream(N.table_stream(spark, f"{sf_dir}/pages.parquet", schemas.PAGES), store, f"{out}/checkpoint", once=True).awaitTermination()
     return store.read("articles").select("url", "domain")

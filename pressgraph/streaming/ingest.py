@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pressgraph import constants as K
 from pressgraph import schemas
@@ -25,6 +26,16 @@ def page_stream(spark: SparkSession, path: str, pattern: str = "*.parquet",
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of files."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    # A stream takes a plain path for a folder; a pattern may name a file as well.
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 def domain_counts(pages: DataFrame) -> DataFrame:
     """Running number of pages per domain; works on streams and tables."""
     return pages.groupBy(U.host("url").alias("domain")).agg(F.count("*").alias("n_articles"))
