@@ -24,7 +24,7 @@ from pressgraph.functions.text import inner_trim, unescape
 _IN_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 ATTRIBUTE = r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 SCRIPTS = (
-    r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+    r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|!--.*?(?:-->|\z))"
 )
 MARK = "\u0001"
 _VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)"
@@ -45,7 +45,7 @@ def _col(c: Column | str) -> Column:
 
 def drop_scripts(html: Column | str) -> Column:
     """Remove scripts, styles and comments; each leaves one space.  Tags are tidy after this."""
-    return tidy(F.regexp_replace(_col(html), SCRIPTS, " "))
+    return let(F.regexp_replace(_col(html), SCRIPTS, " "), tidy)
 
 
 def _tidy_pair(pair: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pressgraph import constants as K
 from pressgraph.functions import html as H
 from pressgraph.functions import urls as U
+from pressgraph.functions.binding import fixed
 from pressgraph.operators import meta as M
 
 VIDEO = (
@@ -245,7 +246,7 @@ def known_images(pages: DataFrame, site_classes: DataFrame) -> DataFrame:
 
     Needs ``with_head`` columns.
     """
-    d = with_known_names(pages, site_classes).withColumn("_src", known_image())
+    d = fixed(with_known_names(pages, site_classes), _src=known_image())
     return d.filter(F.col("_src").isNotNull()).select("page_id", F.col("_src").alias("src"), F.lit(90).alias("confidence"))
 
 

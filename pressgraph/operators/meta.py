@@ -16,7 +16,7 @@ from pressgraph.functions import dates as D
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
 from pressgraph.functions import urls as U
-from pressgraph.functions.binding import let
+from pressgraph.functions.binding import fixed, let
 
 NO_STRINGS = "array<string>"
 
@@ -48,7 +48,7 @@ def with_head(pages: DataFrame) -> DataFrame:
     every element whose markup may carry an author, a date or a tag, found in
     one pass over the page.
     """
-    d = pages.withColumn("doc", _clean("html"))
+    d = fixed(pages, doc=_clean("html"))
 
     pieces = F.split(F.regexp_replace("doc", _MARK, H.MARK + "$1"), H.MARK)
     pieces = F.slice(pieces, F.lit(2), F.size(pieces))

@@ -208,11 +208,13 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
     Scripts, styles and comments are dropped first.  ``text`` keeps a newline
     for each ``<br>``; ``links`` holds the anchors of the segment;
     ``images`` the addresses of its images, absolute if pages have a ``url``;
-    ``flagged`` says that the tag itself matches a boilerplate rule.
+    ``flagged`` says that the tag itself matches a boilerplate rule.  Pages of
+    ``with_language`` bring their cleaned form as ``doc``.
     """
     base = spread_pages(pages, spread)
     carried = [c for c in ("lang", "url") if c in pages.columns]
-    cleaned = F.regexp_replace(H.drop_scripts("html"), H.MARK, "")
+    doc = F.col("doc") if "doc" in pages.columns else H.drop_scripts("html")
+    cleaned = F.replace(doc, F.lit(H.MARK), F.lit(""))
     marked = F.regexp_replace(H.tidy_inline(cleaned), _SEGMENT_START, f"{H.MARK}$1")
     rows = base.select(
         "page_id", *carried,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
 from pressgraph.functions import urls as U
+from pressgraph.functions.binding import fixed
 from pressgraph.operators import body as B
 from pressgraph.operators import media as V
 from pressgraph.operators import meta as M
@@ -18,10 +19,13 @@ from pressgraph.session import materialise
 
 
 def with_language(pages: DataFrame) -> DataFrame:
-    """Add ``lang``: the language the page declares, English when it declares none."""
-    d = pages.withColumn("html_attrs", H.attributes(
-        F.get(H.open_tags(H.drop_scripts("html"), "html"), 0)))
-    d = d.withColumn("metas", F.transform(H.open_tags(H.drop_scripts("html"), "meta"), H.attributes))
+    """Add ``lang``: the language the page declares, English when it declares none.
+
+    ``doc`` is the page without scripts, with tidy tags, as this step read it.
+    """
+    d = fixed(pages, doc=H.drop_scripts("html"))
+    d = d.withColumn("html_attrs", H.attributes(F.get(H.open_tags("doc", "html"), 0)))
+    d = d.withColumn("metas", F.transform(H.open_tags("doc", "meta"), H.attributes))
     return d.withColumn("lang", M.effective_language(M.meta_language())).drop("html_attrs", "metas")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressgraph.functions.binding import fixed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -124,8 +126,10 @@ def _escape(c):
 def press_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    # The headline is the first six words, so the rest of the text need not be cut.
+    start = F.regexp_extract("text", "^(?:[^A-Za-z]*+[A-Za-z]++){0,6}", 0)
     words = F.filter(
-        F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), lambda w: w != "")
+        F.split(F.regexp_replace(start, "[^A-Za-z]+", " "), " "), lambda w: w != "")
     return (
         d.join(c, d.doc_id == c.c_custkey, "left")
         .select(
@@ -155,7 +159,7 @@ def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = press_fields(spark, sf_dir)
     L = F.lit
     paragraphs = F.array_join(
-        F.transform(F.split(_escape(F.col("text")), "\n"),
+        F.transform(F.split("escaped", "\n"),
                     lambda x: F.concat(L("<p>"), x, L("</p>"))), "\n")
     pid = F.col("page_id").cast("string")
     html = F.concat(
@@ -172,7 +176,7 @@ def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         L('"><link rel="canonical" href="/story/'), pid,
         L('"><link rel="shortcut icon" href="/icons/'), "source",
         L('.ico">\n<style>p{color:red}</style><script>document.write("<p>no</p>")</script></head>\n<body class="site-footer">'),
-        L('<div class="navbar"><p>'), _escape(F.col("text")),
+        L('<div class="navbar"><p>'), "escaped",
         L('</p></div>\n<div id="main"><h1>'), "headline", L('</h1>\n<span itemprop="name">Ann <b>'),
         "source", L('</b></span><div class="byline">By: Ann '), "source",
         L(' Lee, Bo Chan and Cy Dee</div>\n<div class="text">'), paragraphs,
@@ -181,8 +185,9 @@ def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         L('</a></p></div></div>\n<iframe src="http://www.youtube.com/embed/'), pid,
         L('" width="560" height="315"></iframe></body></html>'))
     # Extraction is CPU work: a single small input file is spread over the tasks.
-    return f.repartition(spark.sparkContext.defaultParallelism, "page_id").select(
-        "page_id", "url", untidy(html, F.col("page_id")).alias("html"))
+    spread = f.repartition(spark.sparkContext.defaultParallelism, "page_id")
+    tidy = fixed(fixed(spread, escaped=_escape(F.col("text"))), html=html)
+    return fixed(tidy, html=untidy(F.col("html"), F.col("page_id"))).select("page_id", "url", "html")
 
 
 PRESS_SQL = """

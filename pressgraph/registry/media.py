@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pressgraph.functions.binding import fixed
 from pressgraph.operators import body as B
 from pressgraph.operators import media as V
 from pressgraph.operators import meta as M
@@ -98,7 +99,7 @@ SELECT coalesce(p.page_id, l.page_id) AS page_id,
 FROM press p FULL JOIN l ON p.page_id = l.page_id LEFT JOIN f ON l.page_id = f.page_id""")
 def top_images(spark, sf_dir):
     pages = M.with_head(I.press_pages(spark, sf_dir))
-    metas = pages.select("page_id", V.meta_image_url().alias("src"))
+    metas = fixed(pages, src=V.meta_image_url()).select("page_id", "src")
     occ, sizes = page_images(spark, sf_dir), images(spark, sf_dir)
     first = occ.filter("ord = 1").select("page_id", "src")
     return V.top_images(metas, first, V.largest_images(occ, sizes), sizes)
@@ -119,8 +120,8 @@ def best_images(spark, sf_dir):
     name = F.col("page_id").cast("string").alias("page_id")
     known = V.known_images(M.with_head(post_pages(spark, sf_dir)), V.site_image_classes(spark))
     large = V.rank_images(page_images(spark, sf_dir), images(spark, sf_dir)).select(name, "src", "confidence")
-    metas = M.with_head(I.press_pages(spark, sf_dir)).select(name, V.meta_images().alias("m")).filter(
-        "m is not null").select("page_id", "m.*")
+    pages = M.with_head(I.press_pages(spark, sf_dir))
+    metas = fixed(pages, m=V.meta_images()).select(name, "m").filter("m is not null").select("page_id", "m.*")
     return V.best_images(known, large, metas)
 
 
@@ -148,10 +149,9 @@ def gallery_pages(spark, sf_dir):
         picture = F.concat(F.lit('<img src="http://img.example/'), key.cast("string"), F.lit('.jpg">'))
         shown = F.getbit("doc_id", F.lit(n)) == 1
         html = F.replace(html, F.lit(f"@{n}"), F.when(shown, picture).otherwise(F.lit("")))
-    return I.table(spark, sf_dir, "documents").select(
+    return fixed(I.table(spark, sf_dir, "documents"), html=F.replace(html, F.lit("@t"), text)).select(
         F.col("doc_id").alias("page_id"),
-        F.concat(F.lit("http://gallery.example/"), F.col("doc_id").cast("string")).alias("url"),
-        F.replace(html, F.lit("@t"), text).alias("html"))
+        F.concat(F.lit("http://gallery.example/"), F.col("doc_id").cast("string")).alias("url"), "html")
 
 
 def gallery_images(spark, sf_dir):

@@ -155,7 +155,9 @@ SELECT page_id, unnest(['title', 'site_name', 'type', 'image']) AS key,
   unnest([source || ' - ' || headline, source, 'article', '/img/' || page_id || '.jpg']) AS value
 FROM press""")
 def press_open_graph(spark, sf_dir):
-    return M.with_head(I.press_pages(spark, sf_dir)).select("page_id", F.explode("og").alias("key", "value"))
+    # Outer, as else the planner tests the map for emptiness first, which reads every page twice.
+    entries = M.with_head(I.press_pages(spark, sf_dir)).select("page_id", F.explode_outer("og").alias("key", "value"))
+    return entries.filter("key is not null")
 
 
 @register("press_meta_tree", f"""WITH {I.PRESS_SQL}
@@ -168,7 +170,8 @@ FROM press""")
 def press_meta_tree(spark, sf_dir):
     d = M.with_head(I.press_pages(spark, sf_dir)).withColumn("tree", M.meta_tree())
     d = d.withColumn("numbers", M.meta_numbers("tree"))
-    return d.select("page_id", "numbers", F.explode("tree").alias("key", "value")).select(
+    entries = d.select("page_id", "numbers", F.explode_outer("tree").alias("key", "value")).filter("key is not null")
+    return entries.select(
         "page_id", "key", "value", F.try_element_at("numbers", F.col("key")).alias("number"))
 
 
