@@ -70,23 +70,22 @@ def _cited(articles: DataFrame) -> DataFrame:
 
 def sources(cites: DataFrame, articles: DataFrame) -> DataFrame:
     """What each article cites: distinct (text, target properties)."""
-    a = _cited(articles)
+    # Distinct before the join: narrow rows then fill the hash tables.
+    a, narrow = _cited(articles).distinct(), cites.select("src_url", "dst_url", "text").distinct()
     return (
-        cites.join(a, F.col("dst_url") == F.col("url"))
+        narrow.join(a, F.col("dst_url") == F.col("url"))
         .select(F.col("src_url").alias("article_url"), F.col("text").alias("cite_text"),
                 *CITED_COLUMNS)
-        .distinct()
     )
 
 
 def citations(cites: DataFrame, articles: DataFrame) -> DataFrame:
     """Who cites each article: distinct (text, citing article properties)."""
-    a = _cited(articles)
+    a, narrow = _cited(articles).distinct(), cites.select("src_url", "dst_url", "text").distinct()
     return (
-        cites.join(a, F.col("src_url") == F.col("url"))
+        narrow.join(a, F.col("src_url") == F.col("url"))
         .select(F.col("dst_url").alias("article_url"), F.col("text").alias("cite_text"),
                 *CITED_COLUMNS)
-        .distinct()
     )
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from pressgraph.operators import graph_queries as Q
 from pressgraph.registry import REGISTRY, load_all
 
 DOCS = [(i, f"One two3 three; four\nfive & <six> seven {i}.", lang, "wire", 10) for i, lang in enumerate(["en", "fr", "de", "es"])]
@@ -32,3 +33,14 @@ def test_open_graph_rows(spark, folder):
     assert sorted((r.page_id, r.value) for r in rows if r.key == "title") == [
         (i, "wire - One two three four five six") for i in range(4)]
     assert {r.page_id for r in rows} == {0, 1, 2, 3}
+
+
+def test_citations_are_made_distinct_before_the_join(spark):
+    articles = spark.createDataFrame([("u", "d", "t", "a", "x"), ("u", "d", "t", "a", "x"), ("v", "d", None, None, None)],
+                                     "url string, domain string, title string, author string, date string")
+    cites = spark.createDataFrame([("u", "v", "k"), ("u", "v", "k"), ("u", "v", None), ("v", "u", "k"), (None, "v", "k")],
+                                  "src_url string, dst_url string, text string")
+    for found, n in ((Q.sources(cites, articles), 4), (Q.citations(cites, articles), 3)):
+        assert found.count() == n == found.distinct().count()
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("Aggregate")
