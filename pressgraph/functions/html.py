@@ -71,7 +71,9 @@ def tidy(html: Column | str) -> Column:
     h = _col(html)
     scripts = r"(?i)^<(?:script|style)\b"
     pieces = F.regexp_extract_all(h, F.lit(_PIECE), F.lit(0))
-    rebuilt = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(scripts), x).otherwise(fix(x))), "")
+    # Text between tags, which is most of a page, goes past the patterns.
+    rebuilt = F.array_join(F.transform(
+        pieces, lambda x: F.when(~x.startswith("<") | x.rlike(scripts), x).otherwise(fix(x))), "")
     return F.when(h.rlike(_UNTIDY), rebuilt).otherwise(h)
 
 
@@ -132,11 +134,17 @@ def unwrap(html: Column | str, tags: Sequence[str]) -> Column:
 
 def tidy_inline(html: Column | str) -> Column:
     """Unwrap emphasis without pictures, drop caps and spans in paragraphs."""
-    out = F.regexp_replace(_col(html), r"(?is)<em\b[^>]*>((?:[^<]|<(?!img|/em))*+)</em\s*>", "$1")
-    out = F.regexp_replace(
-        out, r"(?is)<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*\bdrop_?cap\b[^\"']*[\"'][^>]*>([^<]*+)</span\s*>",
-        "$1")
-    return out
+    def emphasis(h: Column) -> Column:
+        bare = F.regexp_replace(h, r"(?is)<em\b[^>]*>((?:[^<]|<(?!img|/em))*+)</em\s*>", "$1")
+        return F.when(F.lower(h).contains("<em"), bare).otherwise(h)
+
+    def caps(h: Column) -> Column:
+        bare = F.regexp_replace(
+            h, r"(?is)<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*\bdrop_?cap\b[^\"']*[\"'][^>]*>([^<]*+)</span\s*>",
+            "$1")
+        return F.when(F.lower(h).contains("drop"), bare).otherwise(h)
+
+    return let(let(_col(html), emphasis), caps)
 
 
 def attribute(tag: Column | str, name: str) -> Column:
@@ -202,7 +210,12 @@ def elements(
 
 
 def open_tag(element: Column | str) -> Column:
-    return F.regexp_extract(_col(element), rf"(?s)^<(?:{_IN_TAG}|[^>]*>)", 0)
+    # A tag without quotes ends at the first sign; the pattern reads what follows it, too.
+    e = _col(element)
+    first = F.concat(F.substring_index(e, ">", 1), F.lit(">"))
+    plain = e.contains(">") & ~first.contains('"') & ~first.contains("'")
+    return F.when(~e.startswith("<"), "").when(plain, first).otherwise(
+        F.regexp_extract(e, rf"(?s)^<(?:{_IN_TAG}|[^>]*>)", 0))
 
 
 def element_text(element: Column | str) -> Column:

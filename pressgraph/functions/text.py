@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgraph import constants as K
+from pressgraph.functions.binding import let
 
-SPACE = r"[ \t\n\x0B\f\r]+"
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+#: White space that is not one single space already.
+SPACE = r"[\t\n\x0B\f\r][ \t\n\x0B\f\r]*+| [ \t\n\x0B\f\r]++"
+PUNCTUATION = r"[!-/:-@\[-`{-~]++"
 
 # Language codes of the stop-word lists that ship with Spark.
 STOP_WORD_LISTS = {
@@ -51,9 +53,13 @@ def _entity_table() -> Column:
 
 def unescape(text: Column | str) -> Column:
     """Decode named and numeric HTML entities."""
+    return let(_col(text), lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
+
+
+def _decoded(text: Column) -> Column:
     names = _entity_table()
     pieces = F.regexp_extract_all(
-        _col(text), F.lit(r"&#[xX]?[0-9a-fA-F]{1,7};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"), F.lit(0)
+        text, F.lit(r"&#[xX]?[0-9a-fA-F]{1,7};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"), F.lit(0)
     )
 
     def one(p: Column) -> Column:

@@ -49,7 +49,7 @@ def add_text_stats(rows: DataFrame, lang: str = "lang") -> DataFrame:
     stops = T.stop_word_count("_words", lang)
     spaces = F.aggregate("links", F.lit(0), lambda acc, x: acc + T.space_count(x["text"]))
     d = d.withColumns({
-        "n_words": F.when(has_text, F.size(F.split("plain", " "))).otherwise(0),
+        "n_words": F.when(has_text, T.space_count("plain") + 1).otherwise(0),
         "n_stop": F.when(has_text, stops).otherwise(0),
         "n_links": F.size("links"),
         "link_spaces": F.when(F.size("links") > 0, spaces).otherwise(0),

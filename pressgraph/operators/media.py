@@ -23,9 +23,11 @@ VIDEO = (
 def image_urls(html: Column | str = "doc", url: Column | str = "url") -> Column:
     """Absolute image addresses of a page, distinct, in page order."""
     base = F.col(url) if isinstance(url, str) else url
-    srcs = F.transform(H.open_tags(html, "img"), lambda t: H.attribute(t, "src"))
-    return F.array_distinct(F.transform(
+    h = F.col(html) if isinstance(html, str) else html
+    srcs = F.transform(H.open_tags(h, "img"), lambda t: H.attribute(t, "src"))
+    found = F.array_distinct(F.transform(
         F.filter(srcs, lambda s: s != ""), lambda s: U.resolve(base, s)))
+    return F.when(h.isNull() | F.lower(h).contains("<img"), found).otherwise(F.array().cast("array<string>"))
 
 
 def meta_image_url() -> Column:
@@ -87,8 +89,10 @@ def movie_urls(found: Column | str) -> Column:
 
 def tweets(html: Column | str) -> Column:
     """Embedded posts as raw HTML."""
-    found = H.elements(html, "blockquote", "class", "twitter-tweet")
-    return F.transform(found, lambda e: F.concat(e, F.lit("</blockquote>")))
+    h = F.col(html) if isinstance(html, str) else html
+    found = F.transform(
+        H.elements(h, "blockquote", "class", "twitter-tweet"), lambda e: F.concat(e, F.lit("</blockquote>")))
+    return F.when(h.isNull() | F.lower(h).contains("<blockquote"), found).otherwise(F.array().cast("array<string>"))
 
 
 def is_bad_image_name(src: Column | str) -> Column:

@@ -57,8 +57,10 @@ def with_head(pages: DataFrame) -> DataFrame:
         "metas": F.transform(H.open_tags("doc", "meta"), H.attributes),
         "head_links": F.transform(H.open_tags("doc", "link"), H.attributes),
         "html_attrs": H.attributes(F.coalesce(F.get(H.open_tags("doc", "html"), 0), F.lit(""))),
-        "nodes": F.transform(H.elements_at(pieces), lambda e: F.struct(H.open_tag(e).alias("open"), e.alias("element"))),
-        "title_text": H.element_text(F.get(H.elements("doc", "title"), 0)),
+        "nodes": F.transform(H.elements_at(pieces), lambda e: let(H.open_tag(e), lambda o: F.struct(
+            o.alias("open"), F.lower(o).alias("low"), e.alias("element")))),
+        "title_text": H.element_text(F.nullif(F.regexp_extract(
+            "doc", rf"(?is)<title\b.*?(?=</?title\b|{H.MARK}|\z)", 0), F.lit(""))),
     })
     entries = F.transform(F.col("metas"), lambda m, i: F.struct(
         F.trim(F.coalesce(F.nullif(_at(m, "property"), F.lit("")), _at(m, "name"))).alias("key"),
@@ -77,7 +79,8 @@ def _at(m: Column, key: str) -> Column:
 def _nodes(attr: str, value: str) -> Column:
     """Marked elements whose attribute contains a value, in page order."""
     pattern = H.attribute_pattern([attr], [value.replace(".", r"\.")])
-    return F.filter("nodes", lambda n: n["open"].rlike(pattern))
+    # The plain search spares most nodes the pattern.
+    return F.filter("nodes", lambda n: n["low"].contains(value.lower()) & n["open"].rlike(pattern))
 
 
 def _last_wins(entries: Column) -> Column:

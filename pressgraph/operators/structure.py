@@ -42,6 +42,8 @@ _FLAG_BROAD = H.attribute_pattern(["id", "class", "name"], K.BOILERPLATE_PATTERN
 _WIDGET = H.attribute_pattern(["id", "class"], K.WIDGET_PATTERNS)
 
 
+_MEDIA = r"(?i)<(iframe|embed|object)\b"
+
 PAGE_BYTES_PER_TASK = 32 << 20
 UNKNOWN_BYTES = 1 << 60
 
@@ -191,7 +193,7 @@ def allow_tags(token_rows: DataFrame, allowed=tuple(K.ARTICLE_HTML_TAGS)) -> Dat
 
 # --- segments ----------------------------------------------------------------
 
-_SEGMENT_START = rf"(?i)(</?(?:{'|'.join(BLOCK_TAGS)})\b)"
+_SEGMENT_START = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b"
 #: What a flagged inline element holds: elements of its own name are passed over whole, three deep.
 _HELD = r"(?:[^<]++|<(?!/?\1\b))*+"
 for _ in range(3):
@@ -215,24 +217,28 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
     carried = [c for c in ("lang", "url") if c in pages.columns]
     doc = F.col("doc") if "doc" in pages.columns else H.drop_scripts("html")
     cleaned = F.replace(doc, F.lit(H.MARK), F.lit(""))
-    marked = F.regexp_replace(H.tidy_inline(cleaned), _SEGMENT_START, f"{H.MARK}$1")
+    marked = F.regexp_replace(H.tidy_inline(cleaned), _SEGMENT_START, f"{H.MARK}$0")
     rows = base.select(
         "page_id", *carried,
         F.posexplode_outer(F.split(marked, H.MARK)).alias("pos", "seg"))
     # The close of a non-container with nothing after it bounds nothing.
     inner = [t for t in BLOCK_TAGS if t not in CONTAINER_TAGS]
-    rows = rows.filter(~F.col("seg").rlike(rf"(?i)^</(?:{'|'.join(inner)})\s*>\s*$"))
+    rows = rows.filter(~(F.col("seg").startswith("</") & F.col("seg").rlike(rf"(?i)^</(?:{'|'.join(inner)})\s*>\s*$")))
     s = F.col("seg")
     rows = rows.withColumn("opener", H.open_tag("seg"))
     opener = F.col("opener")
     tag = F.lower(F.regexp_extract(opener, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-    flag = opener.rlike(_FLAG_BROAD if broad else _FLAG) | opener.rlike(_WIDGET)
-    body = F.regexp_replace(F.substr(s, F.length(opener) + 1), _INLINE_FLAGGED, " ")
+    flag = opener.contains("=") & (opener.rlike(_FLAG_BROAD if broad else _FLAG) | opener.rlike(_WIDGET))
     rows = rows.withColumns({
         "tag": F.when(tag.isin(BLOCK_TAGS), tag).otherwise(F.lit("text")),
         "kind": F.when(opener == "", "text").when(opener.startswith("</"), "close").otherwise("open"),
-        "body": body,
+        "body": F.substr(s, F.length(opener) + 1),
     })
+    # Most segments are text behind one tag: patterns that begin with a tag are not tried on them.
+    rows = rows.withColumn("markup", F.col("body").contains("<"))
+    markup = F.col("markup")
+    rows = rows.withColumn(
+        "body", F.when(markup, F.regexp_replace("body", _INLINE_FLAGGED, " ")).otherwise(F.col("body")))
     # body and article tags are exempt: a chance match would empty the page.
     exempt = F.col("tag").isin("html", "body", "article")
     known = F.lit(None).cast("int")
@@ -244,7 +250,7 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
         if a:
             exact = exact | opener.rlike(H.attribute_pattern([a], [f"^{v}$"]))
     is_container = F.col("tag").isin(CONTAINER_TAGS)
-    has_link = F.col("body").rlike(r"(?i)<a\b")
+    has_link = markup & F.col("body").rlike(r"(?i)<a\b")
     links = F.transform(
         H.elements("body", "a"),
         lambda e: F.struct(
@@ -259,15 +265,20 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> Data
         "known_rule": F.when((F.col("kind") == "open") & is_container, known),
         "known_exact": (F.col("kind") == "open") & is_container & exact,
         "links": F.when(has_link, links).otherwise(no_links),
-        "videos": V.videos(F.when(F.col("seg").rlike(r"(?i)<(iframe|embed|object)\b"), F.col("seg"))
-                           .otherwise(F.lit(""))),
-        "first_image": F.nullif(H.attribute(F.regexp_extract(
-            "body", r"(?is)<img\b[^>]*>", 0), "src"), F.lit("")),
-        "images": F.when(F.col("body").rlike(r"(?i)<img\b"), images),
-        "has_media": F.col("body").rlike(r"(?i)<(img|object|embed)\b"),
-        "raw_text": T.unescape(H.strip_tags(F.regexp_replace("body", r"(?i)<br\b[^>]*>", "\u0002"))),
+        "videos": F.when((markup | opener.rlike(_MEDIA)) & F.col("seg").rlike(_MEDIA), V.videos("seg"))
+        .otherwise(F.array().cast(V.VIDEO)),
+        "first_image": F.when(markup, F.nullif(H.attribute(F.regexp_extract(
+            "body", r"(?is)<img\b[^>]*>", 0), "src"), F.lit(""))),
+        "images": F.when(markup & F.col("body").rlike(r"(?i)<img\b"), images),
+        "has_media": markup & F.col("body").rlike(r"(?i)<(img|object|embed)\b"),
+        "raw_text": T.inner_trim(T.unescape(F.when(
+            markup, H.strip_tags(F.regexp_replace("body", r"(?i)<br\b[^>]*>", "\u0002"))).otherwise(F.col("body")))),
     })
-    text = F.trim(F.regexp_replace(
-        F.regexp_replace(T.inner_trim("raw_text"), " ?\u0002 ?", "\n"), "^ +| +$", ""))
-    rows = rows.withColumn("text", text)
-    return rows.drop("seg", "opener", "body", "raw_text", "url")
+    # The ends of a folded text are bare, but for what stands before a last line sign.
+    raw = F.col("raw_text")
+    cut = raw.contains("\u0002")
+    for sign in ("\u0085", "\u2028", "\u2029"):
+        cut = cut | raw.endswith(sign)
+    text = F.trim(F.regexp_replace(F.regexp_replace(raw, " ?\u0002 ?", "\n"), "^ +| +$", ""))
+    rows = rows.withColumn("text", F.when(cut, text).otherwise(raw))
+    return rows.drop("seg", "opener", "body", "markup", "raw_text", "url")

@@ -2,7 +2,10 @@
 
 import pytest
 
+from pressgraph.functions import html as H
+from pressgraph.functions import text as T
 from pressgraph.operators import graph_queries as Q
+from pressgraph.operators import structure as S
 from pressgraph.registry import REGISTRY, load_all
 
 DOCS = [(i, f"One two3 three; four\nfive & <six> seven {i}.", lang, "wire", 10) for i, lang in enumerate(["en", "fr", "de", "es"])]
@@ -44,3 +47,27 @@ def test_citations_are_made_distinct_before_the_join(spark):
         assert found.count() == n == found.distinct().count()
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Join") < plan.index("Aggregate")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_text_goes_past_the_patterns(spark):
+    rows = spark.createDataFrame(
+        [("a  b\t\n c ", "<p>x"), ("d &lt; e", '<p title="a > b">y'), ("f", "g <b>"), ("", "<>"), (None, None), ("h", "<p id='x")],
+        "t string, e string")
+    found = rows.select(T.inner_trim("t").alias("t"), T.unescape("t").alias("u"), H.open_tag("e").alias("o"))
+    assert [tuple(r) for r in found.collect()] == [
+        ("a b c", "a  b\t\n c ", "<p>"), ("d &lt; e", "d < e", '<p title="a > b">'), ("f", "f", ""), ("", "", "<>"),
+        (None, None, None), ("h", "h", "")]
+    plan = _plan(found)
+    assert "Contains(" in plan and "StartsWith(" in plan
+
+
+def test_segments_without_markup(spark):
+    html = "<html lang=en><body><p>a &amp; b \u0085<p>c <br> d<img src=q.png></p><object data=1></object>end</body></html>"
+    rows = S.segments(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert [(r.text, r.has_media, r.first_image) for r in rows.orderBy("pos").collect() if r.text or r.has_media] == [
+        ("a & b\u0085", False, None), ("c\nd", True, "q.png"), ("end", False, None)]
+    assert "markup" in _plan(rows)
