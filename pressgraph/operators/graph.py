@@ -26,7 +26,8 @@ def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     rank = [c for c, kind in df.dtypes if c in rest and "map<" not in kind]
     if not rank:
         return df.dropDuplicates(list(key))
-    best = F.max_by(F.struct(*rest), F.struct(*rank)).alias("_row")
+    # A row that ranks by all it holds is carried once, not beside its rank.
+    best = (F.max(F.struct(*rest)) if rank == rest else F.max_by(F.struct(*rest), F.struct(*rank))).alias("_row")
     return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
+from pressgraph.operators import graph as G
 from pressgraph.operators import graph_queries as Q
 from pressgraph.operators import structure as S
 from pressgraph.registry import REGISTRY, load_all
@@ -71,3 +72,10 @@ def test_segments_without_markup(spark):
     assert [(r.text, r.has_media, r.first_image) for r in rows.orderBy("pos").collect() if r.text or r.has_media] == [
         ("a & b\u0085", False, None), ("c\nd", True, "q.png"), ("end", False, None)]
     assert "markup" in _plan(rows)
+
+
+def test_rows_to_merge_are_carried_once(spark):
+    rows = spark.createDataFrame([(1, "a", "z"), (1, "b", None), (1, "b", "c"), (None, None, "x")], "id long, text string, html string")
+    found = G.one_per_key(rows, ["id"])
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "b", "c"), (None, None, "x")]
+    assert "max_by" not in _plan(found)
