@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressgraph.llm import common as C
-from pressgraph.session import materialise
+from pressgraph.session import bucketed, buckets, materialise
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 COORDINATES, AGREE, ROUNDS = 64, 34, 3
@@ -259,7 +259,7 @@ def similar_sizes(n, m, similarity: tuple[int, int] = SIMILARITY):
     return whole * F.least(n, m) >= part * F.greatest(n, m)
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in AGREE coordinates."""
     def count(batches):
         for batch in batches:
@@ -267,7 +267,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = pa.array((x == y).sum(1) >= AGREE)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    s = classes.select("id", "sig")
+    s = signed.select("id", "sig")
     both = pairs.join(s.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(s.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
 
@@ -322,8 +322,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         rows.filter("n > 0").groupBy("s1", "s2", "n").agg(least, F.first("sig").alias("sig"))
         .select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "n", "rep.doc_id", "rep.k", "sig"), "classes")
     posts = materialise(postings(classes), "postings")
-    texts = materialise(packed_texts(
-        df, classes.join(posts.select("id"), "id").select("id", "doc_id", "k"), id_col, text_col), "texts")
+    # Signatures and texts lie in buckets by class, so that a round shuffles pairs and not these.
+    shared = classes.join(posts.select("id"), "id")
+    texts = bucketed(packed_texts(df, shared.select("id", "doc_id", "k"), id_col, text_col), "texts", "id")
+    signed = bucketed(shared.select("id", "sig").repartition(buckets(df.sparkSession), "id"), "signed", "id")
     links = found = None
     for turn in range(ROUNDS + 1):
         comp, labelled = F.col("id"), posts
@@ -332,7 +334,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         labelled = materialise(labelled.select(
             "id", "n", "company", comp.alias("comp"), F.explode("tokens").alias("token")), "labelled")
         pairs = hub_pairs(labelled, turn) if turn < ROUNDS else all_pairs(labelled, texts, size)
-        new = materialise(confirmed(materialise(agreeing(pairs, classes), "agreeing"), texts, size), "links")
+        new = materialise(confirmed(materialise(agreeing(pairs, signed), "agreeing"), texts, size), "links")
         links = new if links is None else links.unionByName(new)
         found = materialise(C.components(links), "components")
     member = classes.join(found, classes["id"] == found["node"], "left").select(

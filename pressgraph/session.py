@@ -48,8 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Folders that materialise() wrote in this session.
+#: Folders that materialise() and bucketed() wrote in this session, and the tables of the latter.
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -71,9 +72,30 @@ def materialise(df, name: str):
     return spark.read.schema(df.schema).parquet(target)
 
 
+def buckets(spark: SparkSession) -> int:
+    """As many buckets as a shuffle has partitions; with fewer the planner would shuffle a bucketed table again."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    return max(int(parts), int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or parts))
+
+
+def bucketed(df, name: str, key: str):
+    """Like ``materialise``, in buckets by ``key``: joins on it shuffle their other side only.
+
+    A frame that is not yet spread by ``key`` should be, as each task writes a file for each bucket it meets.
+    """
+    spark = df.sparkSession
+    target = scratch_path(spark, name)
+    table = target.rpartition("/")[2].replace("-", "_")
+    _TABLES.append(table)
+    df.write.bucketBy(buckets(spark), key).option("path", target).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> int:
-    """Delete what ``materialise`` wrote in this session; frames that still read it end with this."""
+    """Delete what ``materialise`` and ``bucketed`` wrote in this session; frames that still read it end with this."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     gone = 0
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

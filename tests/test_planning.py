@@ -2,8 +2,10 @@
 
 import pytest
 
+from pressgraph import session
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
+from pressgraph.llm import minhash
 from pressgraph.operators import graph as G
 from pressgraph.operators import graph_queries as Q
 from pressgraph.operators import structure as S
@@ -79,3 +81,19 @@ def test_rows_to_merge_are_carried_once(spark):
     found = G.one_per_key(rows, ["id"])
     assert sorted(map(tuple, found.collect()), key=str) == [(1, "b", "c"), (None, None, "x")]
     assert "max_by" not in _plan(found)
+
+
+def test_texts_are_not_shuffled_to_their_pairs(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [b"a b c", b"a b c", b"x y z", None]
+        rows = spark.createDataFrame([(i, minhash.zstandard.compress(t or b"")) for i, t in enumerate(words)], "id long, text binary")
+        texts = session.bucketed(rows, "texts", "id")
+        pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "a long, b long")
+        found = minhash.confirmed(pairs, texts, 2)
+        assert [tuple(r) for r in found.collect()] == [(0, 1)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2  # the pairs, once by each end
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
