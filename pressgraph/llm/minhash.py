@@ -326,7 +326,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     shared = classes.join(posts.select("id"), "id")
     texts = bucketed(packed_texts(df, shared.select("id", "doc_id", "k"), id_col, text_col), "texts", "id")
     signed = bucketed(shared.select("id", "sig").repartition(buckets(df.sparkSession), "id"), "signed", "id")
-    links = found = None
+    found = None
     for turn in range(ROUNDS + 1):
         comp, labelled = F.col("id"), posts
         if found is not None:
@@ -335,7 +335,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             "id", "n", "company", comp.alias("comp"), F.explode("tokens").alias("token")), "labelled")
         pairs = hub_pairs(labelled, turn) if turn < ROUNDS else all_pairs(labelled, texts, size)
         new = materialise(confirmed(materialise(agreeing(pairs, signed), "agreeing"), texts, size), "links")
-        links = new if links is None else links.unionByName(new)
+        # What was found stands for the links that it was found by.
+        links = new if found is None else new.unionByName(
+            found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         found = materialise(C.components(links), "components")
     member = classes.join(found, classes["id"] == found["node"], "left").select(
         "s1", "s2", "n", F.coalesce("root", "id").alias("comp"), F.col("doc_id").alias("own"))

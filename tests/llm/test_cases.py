@@ -97,6 +97,22 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize(("edges", "writes"), [
+    ([], 1), ([(1, 2), (5, 4), (5, 4), (7, 7)], 1), ([(9, 1), (9, 2), (9, 3)], 2), ([(2, 1), (3, 1), (3, 2)], 2),
+])
+def test_components_stop_once_all_nodes_point_to_the_least(spark, monkeypatch, edges, writes):
+    """A step is some ten exchanges, each with a thread of the driver: none is taken to see that nothing changes."""
+    written = []
+    monkeypatch.setattr(common, "materialise", lambda df, name: written.append(name) or df.localCheckpoint())
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    least = {}
+    for a, b in edges:
+        if a != b:
+            low = min(least.get(a, a), least.get(b, b))
+            least |= {x: low for x, y in [*least.items(), (a, a), (b, b)] if y in (least.get(a, a), least.get(b, b))}
+    assert got == least and len(written) == writes
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(TEXTS)
