@@ -55,8 +55,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     is an aggregate and an equi-join, both of which combine or split hot nodes.
     Each step is written to the shared folder, which cuts the lineage.
 
-    The driver keeps a thread for every exchange of the last minute, so on small
-    tables the number of steps, not their rows, decides its memory.
+    The driver keeps threads of exchanges for a minute, so on small tables each
+    step counts, however few its rows.
     """
     links = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
