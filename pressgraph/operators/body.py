@@ -1,34 +1,19 @@
 """Finding and formatting the article body.
 
-``blocks -> scored -> kept -> text``.  Everything after the segment rows is a
-chain of windows keyed by ``page_id``, so the page text is shuffled once and
-no stage joins the rows back onto themselves.
+``blocks -> scored -> kept -> text``.  Everything after the segment rows is one
+walk along the rows of each page (``walk``), so the page text is shuffled once
+and no stage joins the rows back onto themselves.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pressgraph import constants as K
 from pressgraph.functions import text as T
 from pressgraph.operators import structure as S
-
-
-
-def _page():
-    return W.partitionBy("page_id")
-
-
-def _ordered():
-    return _page().orderBy("pos")
-
-
-def _inside(is_start: Column, is_end: Column) -> Column:
-    """True from a start row up to the row before its end row."""
-    step = F.when(is_start, 1).when(is_end, -1).otherwise(0)
-    return F.sum(step).over(_ordered()) > 0
+from pressgraph.operators import walk as P
 
 
 def high_link_density(n_words: Column, n_links: Column, link_spaces: Column) -> Column:
@@ -67,62 +52,8 @@ def blocks(pages: DataFrame, broad: bool = False, use_known: bool = True, spread
     paragraph of that div, and a div holding nothing but text is itself a
     paragraph of its parent.  ``dropped`` marks rows inside boilerplate.
     """
-    rows = add_text_stats(S.segments(pages, broad, spread))
-    d = S.nest(rows)
-    opened = F.col("step") == 1
-    closed = F.col("step") == -1
-    by_level = W.partitionBy("page_id", "_level").orderBy("pos")
-    by_depth = W.partitionBy("page_id", "depth").orderBy("pos")
-    d = d.withColumn("_level", F.col("depth") + F.when(closed, 1).otherwise(0))
-    own = F.struct(F.col("pos"), F.col("flagged"), F.col("tag"), F.col("parent"))
-    d = d.withColumn("_elem", F.last(F.when(opened, own), True).over(by_level))
-    d = d.withColumn("_hold", F.last(F.when(opened, own), True).over(by_depth))
-    # Boilerplate: containers open and close a region, other tags hold one row.
-    flag_step = (
-        F.when(opened & F.col("flagged"), 1)
-        .when(closed & F.col("_elem.flagged"), -1)
-        .otherwise(0)
-    )
-    d = d.withColumn("_flag", F.sum(flag_step).over(_ordered()))
-    first_known = F.min(
-        F.when(F.col("known_rule").isNotNull(),
-               F.struct(F.col("known_rule").alias("rule"), F.col("pos"),
-                        (F.col("_flag") - F.when(F.col("flagged"), 1).otherwise(0)).alias("flag")))
-    ).over(_page())
-    d = d.withColumn("_known", first_known if use_known else F.lit(None).cast(
-        "struct<rule:int,pos:int,flag:bigint>"))
-    at_known = F.col("pos") == F.col("_known.pos")
-    d = d.withColumn("in_body", F.when(F.col("_known").isNull(), True).otherwise(
-        _inside(at_known, closed & (F.col("elem") == F.col("_known.pos")))))
-    outer_flags = F.coalesce(F.when(F.col("in_body"), F.col("_known.flag")), F.lit(0))
-    single = F.col("flagged") & (F.col("step") == 0)
-    d = d.withColumn("dropped", ((F.col("_flag") - outer_flags) > 0) | single)
-    # Roles.
-    is_open = F.col("kind") == "open"
-    alone = (F.lead("step").over(_ordered()) == -1) & (F.col("n_links") == 0) & ~F.col("has_media")
-    above = F.lag("_hold").over(_ordered())
-    d = d.withColumns({
-        "_leaf": opened & (F.col("tag") == "div") & alone,
-        "_above": F.when(opened, above),
-        "_div": F.col("_hold.tag") == "div",
-    })
-    plain_p = is_open & (F.col("step") == 0) & F.col("tag").isin("p", "pre")
-    cell = opened & (F.col("tag") == "td")
-    loose = F.col("_div") & ~F.col("_leaf") & (F.length("plain") > 1) & (
-        opened | ~is_open)
-    role = (
-        F.when(plain_p, F.col("tag"))
-        .when(cell, "td")
-        .when(F.col("_leaf"), "p")
-        .when(loose, "p")
-    )
-    itself = F.col("_leaf") | cell
-    d = d.withColumns({
-        "role": role,
-        "score_parent": F.when(itself, F.col("_above.pos")).otherwise(F.col("_hold.pos")),
-        "score_grandparent": F.when(itself, F.col("_above.parent")).otherwise(F.col("_hold.parent")),
-    })
-    return d.drop("_level", "_elem", "_hold", "_flag", "_known", "_leaf", "_above", "_div")
+    rows = add_text_stats(S.segments(pages, broad, spread, together=spread))
+    return P.follow(P.begin(rows) if spread else rows, P.blocks(use_known))
 
 
 def scored(block_rows: DataFrame) -> DataFrame:
@@ -131,69 +62,7 @@ def scored(block_rows: DataFrame) -> DataFrame:
     ``up`` is the score a candidate passes up, ``score`` the total a container
     received, ``top_id``/``top_score`` the winning container of the page.
     """
-    d = block_rows
-    live = ~F.col("dropped")
-    cand = live & F.col("in_body") & F.col("role").isNotNull() & (F.col("plain") != "")
-    good = cand & (F.col("n_stop") > K.MIN_STOP_WORDS) & ~F.col("link_dense")
-    d = d.withColumn("good", F.coalesce(good, F.lit(False)))
-    is_p = live & (F.col("role") == "p")
-    d = d.withColumn("_is_p", F.coalesce(is_p, F.lit(False)))
-    # Strong paragraph among the three nearest earlier paragraphs.
-    family = W.partitionBy("page_id", "score_parent", "_is_p").orderBy("pos").rowsBetween(
-        -K.BOOST_STEPS, -1)
-    strong = F.col("_is_p") & (F.max("n_stop").over(family) > K.BOOST_STOP_WORDS)
-    d = d.withColumn("boostable", F.coalesce(strong, F.lit(False)))
-    rank = F.when(F.col("role") == "p", 0).when(F.col("role") == "pre", 1).otherwise(2)
-    d = d.withColumn("_rank", rank)
-    among = W.partitionBy("page_id", "good").orderBy("_rank", "pos")
-    running = among.rowsBetween(W.unboundedPreceding, 0)
-    total = W.partitionBy("page_id", "good")
-    d = d.withColumns({
-        "_i": F.row_number().over(among) - 1,
-        "_n": F.count("*").over(total),
-        "_k": F.sum(F.when(F.col("boostable"), 1).otherwise(0)).over(running),
-    })
-    i, n, k = F.col("_i"), F.col("_n"), F.col("_k")
-    boost = F.when(F.col("boostable"), F.lit(float(K.BOOST_BASE)) / k).otherwise(0.0)
-    tail = n * F.lit(K.TAIL_SHARE)
-    penalty = -F.pow(tail - (n - i), 2.0)
-    boost = F.when(
-        (n > K.TAIL_MIN_NODES) & ((n - i) <= tail),
-        F.when(F.abs(penalty) > K.TAIL_LIMIT, float(K.TAIL_FALLBACK)).otherwise(penalty),
-    ).otherwise(boost)
-    d = d.withColumn("up", F.when(F.col("good"), (F.col("n_stop") + boost).cast("int")))
-    # One row for the block itself and one for each container it feeds.
-    opened = F.col("step") == 1
-    empty = F.lit(None).cast("int")
-    itself = F.struct(
-        F.lit(0).alias("as_what"),
-        F.when(opened, F.col("pos")).otherwise(-F.col("pos") - 1).alias("key"),
-        empty.alias("value"), empty.alias("nth"))
-    up = F.struct(
-        F.lit(1).alias("as_what"), F.col("score_parent").alias("key"),
-        F.col("up").alias("value"), (i * 2).cast("int").alias("nth"))
-    half = F.struct(
-        F.lit(2).alias("as_what"), F.col("score_grandparent").alias("key"),
-        F.floor(F.col("up") / 2).cast("int").alias("value"), (i * 2 + 1).cast("int").alias("nth"))
-    feeds = F.when(
-        F.col("good"),
-        F.when(F.col("score_grandparent").isNotNull(), F.array(itself, up, half))
-        .otherwise(F.array(itself, up)),
-    ).otherwise(F.array(itself))
-    d = d.withColumn("_feed", F.explode_outer(feeds)).select("*", "_feed.*").drop("_feed")
-    keyed = W.partitionBy("page_id", "key")
-    d = d.withColumns({
-        "score": F.sum("value").over(keyed),
-        "n_nodes": F.count("value").over(keyed),
-        "_first": F.min("nth").over(keyed),
-    })
-    best = F.max(F.when(
-        F.col("as_what") > 0,
-        F.struct(F.greatest("score", F.lit(0)).alias("rank"), (-F.col("_first")).alias("early"),
-                 F.col("key").alias("id"), F.col("score").alias("score")))).over(_page())
-    d = d.withColumn("_top", best).filter(F.col("as_what") == 0)
-    d = d.withColumns({"top_id": F.col("_top.id"), "top_score": F.col("_top.score")})
-    return d.drop("_is_p", "_rank", "_i", "_n", "_k", "as_what", "key", "value", "nth", "_first", "_top")
+    return P.follow(block_rows, P.scored())
 
 
 def top_containers(scored_rows: DataFrame) -> DataFrame:
@@ -202,29 +71,6 @@ def top_containers(scored_rows: DataFrame) -> DataFrame:
         "page_id", F.col("pos").alias("container"), "tag", "depth", "score", "n_nodes")
 
 
-def _with_region(d: DataFrame) -> DataFrame:
-    closed = F.col("step") == -1
-    opened = F.col("step") == 1
-    at_top = F.col("pos") == F.col("top_id")
-    d = d.withColumns({
-        "_outer": F.max(F.when(at_top, F.col("parent"))).over(_page()),
-        "_exact": F.max(F.when(at_top, F.col("known_exact"))).over(_page()),
-        "in_top": _inside(at_top, closed & (F.col("elem") == F.col("top_id"))),
-    })
-    at_outer = F.col("pos") == F.col("_outer")
-    d = d.withColumn("_in_outer", F.coalesce(
-        _inside(at_outer, closed & (F.col("elem") == F.col("_outer"))), F.lit(False)))
-    # The direct child container a row lies in: last child event so far.
-    child = F.struct(F.col("pos").alias("id"), F.col("tag").alias("tag"), F.col("score").alias("score"))
-    gone = F.struct(F.lit(None).cast("int").alias("id"), F.lit(None).cast("string").alias("tag"),
-                    F.lit(None).cast("bigint").alias("score"))
-    for name, home in (("_child", "top_id"), ("_uncle", "_outer")):
-        event = F.when(opened & (F.col("parent") == F.col(home)), child).when(
-            closed & (F.col("holder") == F.col(home)), gone)
-        d = d.withColumn(name, F.last(event, True).over(_ordered()))
-    return d
-
-
 def body_rows(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
     """Block rows of pages that have a body, with ``keep``, ``in_top`` and order.
 
@@ -234,83 +80,10 @@ def body_rows(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
     rule set: siblings are always considered, children only fail on links,
     and few-word paragraphs stay.
     """
-    d = _with_region(scored_rows.filter(F.col("top_id").isNotNull()))
-    live = ~F.col("dropped")
-    is_p = live & (F.col("role") == "p") & (F.col("plain") != "")
-    in_top = F.col("in_top")
-    # Sibling baseline: mean stop words of good paragraphs in the top container.
-    counted = is_p & in_top & (F.col("n_stop") > K.MIN_STOP_WORDS) & ~F.col("link_dense")
-    mean = F.floor(
-        F.sum(F.when(counted, F.col("n_stop"))).over(_page()) / F.count(F.when(counted, 1)).over(_page()))
-    d = d.withColumn("_base", F.coalesce(mean, F.lit(K.SIBLING_DEFAULT_BASE)))
-    direct_uncle = F.col("score_parent") == F.col("_outer")
-    adopt = (
-        is_p & F.col("_in_outer") & (F.col("pos") < F.col("top_id"))
-        & (direct_uncle | ((F.col("n_stop") > F.col("_base") * K.SIBLING_SHARE) & ~F.col("link_dense")))
-    )
-    if not lenient:
-        adopt = adopt & ~F.col("_exact")
-    # The unit a row belongs to: itself, or the child container around it.
-    direct = F.col("score_parent") == F.col("top_id")
-    inside_child = in_top & F.col("_child.id").isNotNull() & ~(direct & F.col("role").isNotNull())
-    d = d.withColumns({
-        "adopted": F.coalesce(adopt, F.lit(False)),
-        "_in_child": F.coalesce(inside_child, F.lit(False)),
-    })
-    d = d.withColumn("unit", F.when(F.col("_in_child"), F.col("_child.id")).otherwise(F.col("pos")))
-    unit = W.partitionBy("page_id", "unit", "_in_child")
-    has_text = live & (F.col("plain") != "")
-    enough = is_p & (F.length("plain") >= K.MIN_PARAGRAPH_CHARS)
-    d = d.withColumns({
-        "_u_words": F.sum(F.when(has_text, F.col("n_words")).otherwise(0)).over(unit),
-        "_u_links": F.sum(F.when(live, F.col("n_links")).otherwise(0)).over(unit),
-        "_u_spaces": F.sum(F.when(live, F.col("link_spaces")).otherwise(0)).over(unit),
-        "_u_paras": F.count(F.when(enough, 1)).over(unit),
-        "_u_stop": F.sum(F.when(has_text, F.col("n_stop")).otherwise(0)).over(unit),
-    })
-    dense = high_link_density(F.col("_u_words"), F.col("_u_links"), F.col("_u_spaces"))
-    is_td = F.col("_child.tag") == "td"
-    child_score = F.coalesce(F.col("_child.score"), F.lit(0))
-    weak = (F.col("_u_paras") == 0) | (child_score < F.col("top_score") * K.CHILD_SCORE_SHARE)
-    negative = F.coalesce(F.col("_child.score") < 1, F.lit(False))
-    own_p = direct & (F.col("role") == "p")
-    is_element = (F.col("kind") == "open") & (F.col("step") == 0)
-    if lenient:
-        child_ok = ~dense & ~negative
-        row_ok = F.lit(True)
-        own_ok = own_p | (is_element & ~F.col("link_dense"))
-    else:
-        child_ok = ~dense & (is_td | ~weak) & ~negative & (F.col("_u_stop") >= K.FEW_WORDS)
-        wordy = (F.col("n_stop") >= K.FEW_WORDS) & ~F.col("plain").rlike(r"^\(.*\)$")
-        short_p = (F.col("role") == "p") & (F.length("plain") < K.MIN_PARAGRAPH_CHARS)
-        row_ok = F.when(is_element | F.col("role").isNotNull(), (wordy | F.col("has_media"))
-                        & ~F.coalesce(short_p & F.col("_in_child"), F.lit(False))).otherwise(True)
-        own_ok = own_p
-    from_top = in_top & live & F.when(F.col("_in_child"), child_ok).otherwise(own_ok)
-    adopted_ok = F.col("adopted")
-    keep = (F.col("plain") != "") & row_ok & (F.coalesce(from_top, F.lit(False)) | adopted_ok)
-    # Adopted siblings come first, far to near; inside one sibling the order
-    # of adoption is reversed.
-    d = d.withColumns({
-        "keep": F.coalesce(keep, F.lit(False)),
-        "unit_order": F.when(F.col("adopted"), F.struct(
-            F.lit(0).alias("a"),
-            F.coalesce(F.when(direct_uncle, F.col("pos")), F.col("_uncle.id"), F.col("pos")).alias("b"),
-            F.when(direct_uncle, 0).otherwise(-F.col("pos")).alias("c")))
-        .otherwise(F.struct(F.lit(1).alias("a"), F.col("unit").alias("b"), F.lit(0).alias("c"))),
-    })
-    if lenient:
-        # A trailing child container of three or more units is not content.
-        kept_order = F.when(F.col("keep"), F.col("unit_order"))
-        units = F.size(F.collect_set(kept_order).over(_page()))
-        trailing = (
-            (F.col("unit_order") == F.max(kept_order).over(_page())) & F.col("_in_child") & (units >= 3))
-        d = d.withColumn("keep", F.col("keep") & ~F.coalesce(trailing, F.lit(False)))
-    return d.select(
+    return P.follow(scored_rows, P.body(lenient), [
         "page_id", "pos", "tag", "role", "unit_order", "text", "plain", "n_stop", "n_words",
         "adopted", "keep", "links", "videos", "first_image",
-        *[c for c in ("images", "levels") if "levels" in d.columns],
-        (F.col("in_top") & ~F.col("dropped")).alias("in_top"))
+        *[c for c in ("images", "levels") if "levels" in scored_rows.columns], "in_top"])
 
 
 def with_image_levels(scored_rows: DataFrame) -> DataFrame:
@@ -324,56 +97,21 @@ def with_image_levels(scored_rows: DataFrame) -> DataFrame:
     is met at their parent.  Rows that cleaning removed, rows beyond the last
     parent and all rows of a page without a winner have no level.
     """
-    d = scored_rows
-    opened, closed = F.col("step") == 1, F.col("step") == -1
-    live = ~F.col("dropped") | ~F.col("in_body")
-    steps = K.IMAGE_MAX_PARENTS + 1
-    d = d.withColumn("_a0", F.col("top_id"))
-    for k in range(1, steps + 1):
-        inner = F.col(f"_a{k - 1}")
-        d = d.withColumn(f"_a{k}", F.max(F.when(F.col("pos") == inner, F.col("parent"))).over(_page()))
-    for k in range(steps + 1):
-        node = F.col(f"_a{k}")
-        d = d.withColumn(f"_in{k}", F.coalesce(_inside(
-            F.col("pos") == node, closed & (F.col("elem") == node)), F.lit(False)))
-    place = "struct<parent_depth:int,sibling:long>"
-    none = F.array().cast(f"array<{place}>")
-    wider, beside = [], []
-    for k in range(steps + 1):
-        node = F.col(f"_a{k}")
-        here = F.struct(F.lit(k).alias("parent_depth"), F.lit(0).cast("long").alias("sibling"))
-        wider.append(F.when(F.col(f"_in{k}"), F.array(here)).otherwise(none))
-        if k == 0:
-            continue
-        inner = F.col(f"_a{k - 1}")
-        child = live & (F.col("kind") == "open") & F.when(opened, F.col("parent") == node).otherwise(F.col("holder") == node)
-        d = d.withColumn("_child", F.coalesce(child, F.lit(False)))
-        d = d.withColumn("_nth", F.count(F.when(F.col("_child"), 1)).over(_ordered()))
-        # The child a row lies in: loose rows of the node end it.
-        event = F.when(F.col("_child"), F.struct(F.col("_nth").alias("nth"))).when(
-            F.col("holder") == node, F.struct(F.lit(None).cast("long").alias("nth")))
-        d = d.withColumn("_mine", F.last(event, True).over(_ordered()))
-        start = F.max(F.when(F.col("pos") == inner, F.col("_nth"))).over(_page())
-        d = d.withColumn(f"_back{k}", F.when(
-            F.col(f"_in{k}") & (F.col("pos") < inner), start - F.col("_mine.nth")))
-        earlier = F.struct(F.lit(k - 1).alias("parent_depth"), F.col(f"_back{k}").alias("sibling"))
-        beside.append(F.when(F.col(f"_back{k}").isNotNull() & ~F.col(f"_in{k - 1}"), F.array(earlier)).otherwise(none))
-    levels = F.when(live, F.array_sort(F.concat(*beside, *wider))).otherwise(none)
-    gone = [f"_{what}{k}" for what in ("a", "in", "back") for k in range(steps + 1)]
-    return d.withColumn("levels", levels).drop("_child", "_nth", "_mine", *gone)
+    return P.follow(scored_rows, P.levels())
 
 
 def image_levels(scored_rows: DataFrame) -> DataFrame:
     """``(page_id, ord, src, levels)``: the images of each page in page order."""
-    d = with_image_levels(scored_rows).filter(F.size("images") > 0)
-    d = d.select("page_id", "pos", "levels", F.posexplode("images").alias("_nth", "src"))
-    return d.select("page_id", F.struct("pos", "_nth").alias("_at"), "src", "levels").withColumn(
-        "ord", F.row_number().over(_page().orderBy("_at"))).drop("_at")
+    d = P.follow(with_image_levels(scored_rows), P.numbered(), ["page_id", "images", "levels", "ords"])
+    d = d.withColumn("_image", F.explode(F.arrays_zip("images", "ords")))
+    return d.select("page_id", F.col("_image.images").alias("src"), "levels", F.col("_image.ords").alias("ord"))
 
 
 def kept_blocks(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
     """Blocks that make the body, with their output order."""
-    return body_rows(scored_rows, lenient).filter("keep").drop("links", "videos", "in_top", "keep")
+    return P.follow(body_rows(scored_rows, lenient), P.kept(), [
+        "page_id", "pos", "tag", "role", "unit_order", "text", "plain", "n_stop", "n_words", "adopted", "first_image",
+        *[c for c in ("images", "levels") if "levels" in scored_rows.columns]])
 
 
 def _glue(parts: Column) -> Column:
@@ -396,30 +134,26 @@ def _glue(parts: Column) -> Column:
 
 def body_text(kept: DataFrame) -> DataFrame:
     """``(page_id, text)``: units joined by a blank line, entities decoded."""
-    parts = F.collect_list(F.struct("unit_order", "pos", "text"))
-    return kept.groupBy("page_id").agg(parts.alias("parts")).select(
+    return P.per_page(kept, {"parts": (None, ["unit_order", "pos", "text"])}).select(
         "page_id", _glue(F.col("parts")).alias("text"))
 
 
 def page_bodies(rows: DataFrame) -> DataFrame:
     """One row per page from ``body_rows``: text, links, videos, first image.
 
-    All of them leave in one aggregate, so the block rows are computed once.
+    All of them leave in one pass, so the block rows are computed once.
     Rows of ``with_image_levels`` add ``places``: the page's images in order,
     with the levels on which a search meets them.
     """
-    top = F.col("in_top")
     placed = "levels" in rows.columns
-    pictures = F.when(F.size("images") > 0, F.struct("pos", "images", "levels"))
-    d = rows.groupBy("page_id").agg(
-        F.collect_list(F.when(F.col("keep"), F.struct("unit_order", "pos", "text"))).alias("parts"),
-        F.collect_list(F.when(top & (F.size("links") > 0), F.struct("pos", "links"))).alias("l"),
-        F.collect_list(F.when(top & (F.size("videos") > 0), F.struct("pos", "videos"))).alias("v"),
-        F.min_by(F.when(top, F.col("first_image")),
-                 F.when(top & F.col("first_image").isNotNull(), F.col("pos"))).alias("body_image"),
-        *([F.array_sort(F.collect_list(pictures)).alias("p")] if placed else []),
-    )
-    places = F.flatten(F.transform("p", lambda x: F.transform(
+    lists = {
+        "parts": ("keep", ["unit_order", "pos", "text"]),
+        "l": ("in_top&_with_links", ["pos", "links"]),
+        "v": ("in_top&_with_videos", ["pos", "videos"]),
+        **({"p": ("_pictures", ["pos", "images", "levels"])} if placed else {}),
+    }
+    d = P.per_page(rows, lists, {"first_image": "in_top&_with_first"})
+    places = F.flatten(F.transform(F.array_sort("p"), lambda x: F.transform(
         x["images"], lambda src: F.struct(src.alias("src"), x["levels"].alias("levels")))))
     return d.select(
         "page_id",
@@ -427,20 +161,16 @@ def page_bodies(rows: DataFrame) -> DataFrame:
         F.filter(F.flatten(F.transform(F.array_sort("l"), lambda x: x["links"])),
                  lambda x: x["url"] != "").alias("links"),
         F.flatten(F.transform(F.array_sort("v"), lambda x: x["videos"])).alias("videos"),
-        "body_image",
+        F.col("first_image").alias("body_image"),
         *([places.alias("places")] if placed else []),
     )
 
 
 def body_links(scored_rows: DataFrame) -> DataFrame:
     """``(page_id, pos, url, text)`` of links inside the top container."""
-    d = scored_rows.filter(F.col("top_id").isNotNull())
-    closed = F.col("step") == -1
-    d = d.withColumn("in_top", _inside(
-        F.col("pos") == F.col("top_id"), closed & (F.col("elem") == F.col("top_id"))))
+    d = P.follow(scored_rows, P.inside_top(), ["page_id", "pos", "links"])
     return (
-        d.filter(F.col("in_top") & ~F.col("dropped"))
-        .select("page_id", "pos", F.posexplode("links").alias("nth", "l"))
+        d.select("page_id", "pos", F.posexplode("links").alias("nth", "l"))
         .filter(F.col("l.url") != "")
         .select("page_id", "pos", "nth", "l.url", "l.text")
     )

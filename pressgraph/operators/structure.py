@@ -204,16 +204,18 @@ _INLINE_FLAGGED = (
 )
 
 
-def segments(pages: DataFrame, broad: bool = False, spread: bool = True) -> DataFrame:
+def segments(pages: DataFrame, broad: bool = False, spread: bool = True, together: bool = False) -> DataFrame:
     """One row per block-level boundary with the text that follows it.
 
     Scripts, styles and comments are dropped first.  ``text`` keeps a newline
     for each ``<br>``; ``links`` holds the anchors of the segment;
     ``images`` the addresses of its images, absolute if pages have a ``url``;
     ``flagged`` says that the tag itself matches a boilerplate rule.  Pages of
-    ``with_language`` bring their cleaned form as ``doc``.
+    ``with_language`` bring their cleaned form as ``doc``.  ``together`` sorts the
+    pages of each task, so that rows of one ``page_id`` stand together.
     """
     base = spread_pages(pages, spread)
+    base = base.sortWithinPartitions("page_id") if together else base
     carried = [c for c in ("lang", "url") if c in pages.columns]
     doc = F.col("doc") if "doc" in pages.columns else H.drop_scripts("html")
     cleaned = F.replace(doc, F.lit(H.MARK), F.lit(""))
