@@ -28,6 +28,7 @@ def stored_texts(spark, sf_dir):
         F.col("page_id").alias("id"), "url", F.lit(None).cast("string").alias("text"), "html", F.col("html").alias("raw_html"))
     for batch in (docs, pages, pages.filter("id % 2 = 0")):  # a part of the pages once more changes nothing
         store.commit(lambda c, batch=batch: c.upsert("texts", batch, G.upsert_text))
+        store.vacuum(keep=1)  # nobody reads the state before
     return store.read("texts")
 
 

@@ -164,7 +164,7 @@ class Change:
         """Write rows to a new folder; gives the folder of each bucket that has rows."""
         t, folder = self.store.tables[name], f"{name}/{self.version:012d}-{uuid.uuid4().hex[:8]}"
         (rows.select(*t.schema.names).withColumn("bucket", _bucket(t.key, self.store.buckets)).hint("rebalance", F.col("bucket"))
-         .write.partitionBy("bucket").parquet(f"{self.store.root}/{folder}"))
+         .write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.store.root}/{folder}"))
         made = self.store._files.listStatus(self.store._path(f"{self.store.root}/{folder}"))
         names = [f.getPath().getName() for f in made if f.isDirectory()]
         return {int(n.split("=")[1]): f"{folder}/{n}" for n in names if n.startswith("bucket=")}
