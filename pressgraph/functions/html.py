@@ -174,6 +174,11 @@ def open_tags(html: Column | str, tag: str) -> Column:
     )
 
 
+def first_open_tag(html: Column | str, tag: str) -> Column:
+    """The first of ``open_tags``, '' if there is none; what follows it is not read."""
+    return F.regexp_extract(_col(html), rf"(?is)<{tag}\b(?:{_IN_TAG}|[^>]*>)", 0)
+
+
 def elements(
     html: Column | str,
     tag: str | None = None,

@@ -45,15 +45,17 @@ def add_text_stats(rows: DataFrame, lang: str = "lang") -> DataFrame:
     ).drop("_words")
 
 
-def blocks(pages: DataFrame, broad: bool = False, use_known: bool = True, spread: bool = True) -> DataFrame:
+def blocks(pages: DataFrame, broad: bool = False, use_known: bool = True, spread: bool = True, dealt: bool = False) -> DataFrame:
     """Cleaned block rows with nesting, paragraph roles and word statistics.
 
     ``role`` is p, pre or td for candidates; loose text of a div counts as a
     paragraph of that div, and a div holding nothing but text is itself a
     paragraph of its parent.  ``dropped`` marks rows inside boilerplate.
+    ``dealt`` says that the pages are spread by ``page_id`` already; rows then
+    keep their ``url``, so that others can read the same exchange of pages.
     """
-    rows = add_text_stats(S.segments(pages, broad, spread, together=spread))
-    return P.follow(P.begin(rows) if spread else rows, P.blocks(use_known))
+    rows = add_text_stats(S.segments(pages, broad, spread and not dealt, together=spread or dealt, keep_url=dealt))
+    return P.follow(P.begin(rows) if spread or dealt else rows, P.blocks(use_known))
 
 
 def scored(block_rows: DataFrame) -> DataFrame:
@@ -83,7 +85,8 @@ def body_rows(scored_rows: DataFrame, lenient: bool = False) -> DataFrame:
     return P.follow(scored_rows, P.body(lenient), [
         "page_id", "pos", "tag", "role", "unit_order", "text", "plain", "n_stop", "n_words",
         "adopted", "keep", "links", "videos", "first_image",
-        *[c for c in ("images", "levels") if "levels" in scored_rows.columns], "in_top"])
+        *[c for c in ("images", "levels") if "levels" in scored_rows.columns],
+        *[c for c in ("url",) if c in scored_rows.columns], "in_top"])
 
 
 def with_image_levels(scored_rows: DataFrame) -> DataFrame:
@@ -152,7 +155,7 @@ def page_bodies(rows: DataFrame) -> DataFrame:
         "v": ("in_top&_with_videos", ["pos", "videos"]),
         **({"p": ("_pictures", ["pos", "images", "levels"])} if placed else {}),
     }
-    d = P.per_page(rows, lists, {"first_image": "in_top&_with_first"})
+    d = P.per_page(rows, lists, {"first_image": "in_top&_with_first", **({"url": None} if "url" in rows.columns else {})})
     places = F.flatten(F.transform(F.array_sort("p"), lambda x: F.transform(
         x["images"], lambda src: F.struct(src.alias("src"), x["levels"].alias("levels")))))
     return d.select(

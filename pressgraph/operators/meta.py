@@ -41,22 +41,32 @@ _MARK = (
 )
 
 
+def cleaned(pages: DataFrame) -> DataFrame:
+    """Add ``doc``, the page without scripts and with tidy tags, and the attribute maps of its ``metas``."""
+    d = fixed(pages, doc=_clean("html"))
+    return d.withColumn("metas", F.transform(H.open_tags("doc", "meta"), H.attributes))
+
+
+def html_attrs() -> Column:
+    """Attributes of the first html tag."""
+    return H.attributes(H.first_open_tag("doc", "html"))
+
+
 def with_head(pages: DataFrame) -> DataFrame:
     """Add the head of each page as columns.
 
     ``metas`` and ``head_links`` are arrays of attribute maps; ``nodes`` holds
     every element whose markup may carry an author, a date or a tag, found in
-    one pass over the page.
+    one pass over the page.  Pages of ``cleaned`` bring the first of these.
     """
-    d = fixed(pages, doc=_clean("html"))
+    d = pages if "doc" in pages.columns else cleaned(pages)
 
     pieces = F.split(F.regexp_replace("doc", _MARK, H.MARK + "$1"), H.MARK)
     pieces = F.slice(pieces, F.lit(2), F.size(pieces))
 
     d = d.withColumns({
-        "metas": F.transform(H.open_tags("doc", "meta"), H.attributes),
         "head_links": F.transform(H.open_tags("doc", "link"), H.attributes),
-        "html_attrs": H.attributes(F.coalesce(F.get(H.open_tags("doc", "html"), 0), F.lit(""))),
+        "html_attrs": html_attrs(),
         "nodes": F.transform(H.elements_at(pieces), lambda e: let(H.open_tag(e), lambda o: F.struct(
             o.alias("open"), F.lower(o).alias("low"), e.alias("element")))),
         "title_text": H.element_text(F.nullif(F.regexp_extract(

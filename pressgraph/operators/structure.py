@@ -66,7 +66,7 @@ def page_tasks(pages: DataFrame) -> int:
 
 
 def spread_pages(pages: DataFrame, spread: bool = True) -> DataFrame:
-    kept = pages.filter(F.col("html").isNotNull())
+    kept = pages.filter(F.col("html").isNotNull()) if "html" in pages.columns else pages
     return kept.repartition(page_tasks(kept), "page_id") if spread else kept
 
 
@@ -204,7 +204,8 @@ _INLINE_FLAGGED = (
 )
 
 
-def segments(pages: DataFrame, broad: bool = False, spread: bool = True, together: bool = False) -> DataFrame:
+def segments(pages: DataFrame, broad: bool = False, spread: bool = True, together: bool = False,
+             keep_url: bool = False) -> DataFrame:
     """One row per block-level boundary with the text that follows it.
 
     Scripts, styles and comments are dropped first.  ``text`` keeps a newline
@@ -212,7 +213,8 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True, togethe
     ``images`` the addresses of its images, absolute if pages have a ``url``;
     ``flagged`` says that the tag itself matches a boilerplate rule.  Pages of
     ``with_language`` bring their cleaned form as ``doc``.  ``together`` sorts the
-    pages of each task, so that rows of one ``page_id`` stand together.
+    pages of each task, so that rows of one ``page_id`` stand together.  Pages
+    that have ``doc`` only, and no ``html``, give no rows where it is NULL.
     """
     base = spread_pages(pages, spread)
     base = base.sortWithinPartitions("page_id") if together else base
@@ -283,4 +285,4 @@ def segments(pages: DataFrame, broad: bool = False, spread: bool = True, togethe
         cut = cut | raw.endswith(sign)
     text = F.trim(F.regexp_replace(F.regexp_replace(raw, " ?\u0002 ?", "\n"), "^ +| +$", ""))
     rows = rows.withColumn("text", F.when(cut, text).otherwise(raw))
-    return rows.drop("seg", "opener", "body", "markup", "raw_text", "url")
+    return rows.drop("seg", "opener", "body", "markup", "raw_text", *([] if keep_url else ["url"]))

@@ -98,13 +98,13 @@ def follow(df: DataFrame, step: Step, columns: Sequence[str] | None = None) -> D
     return out
 
 
-def per_page(df: DataFrame, lists: dict[str, tuple[str | None, Sequence[str]]], first: dict[str, str] | None = None) -> DataFrame:
+def per_page(df: DataFrame, lists: dict[str, tuple[str | None, Sequence[str]]], first: dict[str, str | None] | None = None) -> DataFrame:
     """One row a page: lists of structs of columns, of rows where a column is true; ``first`` takes a single value so."""
     walk = _walk_of(df)
     steps = walk.steps
     fields = list(dict.fromkeys([c for _, cs in lists.values() for c in cs] + list(first or ())))
     made = {name for s in steps for name in s.gives}
-    wheres = {w for w, _ in lists.values() if w} | set((first or {}).values())
+    wheres = {w for w in (*(w for w, _ in lists.values()), *(first or {}).values()) if w}
     return _mapped(walk.rows, steps, [c for c in fields if c not in made], [c for c in fields if c in made], _pages_out,
                    lists=lists, first=first or {}, wheres=wheres)
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pressgraph.functions import html as H
 from pressgraph.functions import text as T
 from pressgraph.functions import urls as U
-from pressgraph.functions.binding import fixed
 from pressgraph.operators import body as B
 from pressgraph.operators import media as V
 from pressgraph.operators import meta as M
+from pressgraph.operators import structure as S
 from pressgraph.operators import topics as P
 from pressgraph.session import materialise
 
@@ -23,9 +23,8 @@ def with_language(pages: DataFrame) -> DataFrame:
 
     ``doc`` is the page without scripts, with tidy tags, as this step read it.
     """
-    d = fixed(pages, doc=H.drop_scripts("html"))
-    d = d.withColumn("html_attrs", H.attributes(F.get(H.open_tags("doc", "html"), 0)))
-    d = d.withColumn("metas", F.transform(H.open_tags("doc", "meta"), H.attributes))
+    d = pages if "doc" in pages.columns else M.cleaned(pages)
+    d = d.withColumn("html_attrs", M.html_attrs())
     return d.withColumn("lang", M.effective_language(M.meta_language())).drop("html_attrs", "metas")
 
 
@@ -46,20 +45,24 @@ def parse_articles(
 ) -> DataFrame:
     """One row per page; pages without HTML keep a row of empty fields.
 
-    The body rows and the metadata rows are both keyed by ``page_id``; only
-    the metadata columns, not the page, are shuffled for the join.
+    Pages are cleaned and spread by ``page_id`` once; metadata and bodies both
+    read that exchange, and only the bodies are shuffled for the join.
 
     ``images`` (src, bytes, width, height; one row per src) turns the image
     search on: ``top_image`` is then the image of a known container, else the
     best one around the body, else the one that metadata names.  The bodies
     are written to the shared folder first, as the search reads them too.
     """
-    if images is not None:
-        pages = V.with_known_names(pages, V.site_image_classes(pages.sparkSession))
+    tasks = S.page_tasks(pages)
+    pages = M.cleaned(pages).select("page_id", "url", "doc", "metas")
+    if spread:
+        # By a hash of the key, as an exchange like that of the source would be left out and every page be built twice.
+        pages = pages.repartition(tasks, F.xxhash64("page_id"))
     known = {"known_image": V.known_image()} if images is not None else {}
+    named = pages if images is None else V.with_known_names(pages, V.site_image_classes(pages.sparkSession))
     meta = M.metadata(
-        pages, tweets=V.tweets("doc"), top_image=V.meta_images(), images=V.image_urls(), **known)
-    rows = B.scored(B.blocks(with_language(pages), spread=spread))
+        named, tweets=V.tweets("doc"), top_image=V.meta_images(), images=V.image_urls(), **known)
+    rows = B.scored(B.blocks(with_language(pages), spread=spread, dealt=spread))
     if images is None:
         out = meta.join(B.page_bodies(B.body_rows(rows)), "page_id", "left")
     else:

@@ -185,7 +185,8 @@ def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         L('</a></p></div></div>\n<iframe src="http://www.youtube.com/embed/'), pid,
         L('" width="560" height="315"></iframe></body></html>'))
     # Extraction is CPU work: a single small input file is spread over the tasks.
-    spread = f.repartition(spark.sparkContext.defaultParallelism, "page_id")
+    few = table(spark, sf_dir, "documents").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    spread = f.repartition(spark.sparkContext.defaultParallelism, "page_id") if few else f
     tidy = fixed(fixed(spread, escaped=_escape(F.col("text"))), html=html)
     return fixed(tidy, html=untidy(F.col("html"), F.col("page_id"))).select("page_id", "url", "html")
 

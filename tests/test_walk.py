@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pressgraph.operators import body as B
 from pressgraph.operators import walk as P
+from pressgraph.plans import articles as A
 from pressgraph.schemas import PAGES
 
 LONG = "this is one of the long lines that we have and it was here for you"
@@ -46,3 +47,11 @@ def test_pages_over_several_batches_stay_whole():
     assert [x for t in found for x in t] == [1, 1, 1, 2, 2, 2, 2, 3, 4, 4, None, None]
     ends = [(t[0], t[-1]) for t in found]
     assert all(a[1] != b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_metadata_and_bodies_read_one_exchange_of_pages(spark):
+    pages = spark.createDataFrame([(1, "http://x.y/", f"<html lang=en><title>T</title>{PAGE}"), (2, "http://x.y/", None)], PAGES)
+    found = A.parse_articles(pages).select("page_id", "title", "cleaned_text")
+    rows = {r["page_id"]: (r["title"], len(r["cleaned_text"]) > 60) for r in found.collect()}
+    assert rows == {1: ("T", True), 2: ("", False)}
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
